@@ -1,7 +1,8 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
 A document is a bag of passages of ``PASSAGE`` words. A passage is encoded from the
-summed embeddings of its hashed words and from statistics of its characters, the gated
+summed log odds of its hashed words and word beginnings (those that differ significantly
+between good and other documents) and from statistics of its characters; the gated
 attention of Ilse, Tomczak and Welling (2018) weighs the passages,
 a_k ~ exp(w . (tanh(V h_k) * sigmoid(U h_k))), and a logistic unit scores sum a_k h_k.
 Only documents have labels: a document is good if its quality is 1 and it isn't toxic.
@@ -28,15 +29,16 @@ from pyspark.sql import types as T
 
 from .words import Words, buffer_of, slices
 
-PASSAGE, BUCKETS, DIM, HIDDEN, ATTENTION = 64, 1 << 16, 8, 16, 12
-TRAIN_ROWS, TRAIN_CHARS, EPOCHS, KEEP_AT = 6000, 20_000, 8, 0.5
+PASSAGE, BUCKETS, BEGINNING, HIDDEN, ATTENTION = 64, 1 << 18, 5, 16, 12
+DIM, SIGNIFICANT = 4, 4.0
+TRAIN_ROWS, TRAIN_CHARS, EPOCHS, KEEP_AT = 8000, 20_000, 20, 0.5
 STATS = 14
 
 
 class Passages:
     """Passages of a slice: word buckets, passage of each word, passage statistics, first passage of each row."""
 
-    __slots__ = ("bucket", "word_first", "stats", "first", "doc")
+    __slots__ = ("bucket", "begin", "word_first", "stats", "first", "doc")
 
     def __init__(self, column: pa.Array):
         words = Words(column)
@@ -46,7 +48,10 @@ class Passages:
         self.doc = np.repeat(np.arange(words.n_docs), n)
         nth = np.arange(self.first[-1]) - self.first[self.doc]
         self.word_first = words.first[self.doc] + nth * PASSAGE
-        self.bucket = (words.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
+        # two entries a word: of the whole and, in the table's other half, of its beginning, which inflected forms share
+        half = np.uint64(BUCKETS // 2 - 1)
+        self.bucket = (words.hash & half).astype(np.int64)
+        self.begin = (words.beginnings(BEGINNING) & half).astype(np.int64) + BUCKETS // 2
         raw, off = buffer_of(column)
         # Lower-casing may change a text's length in bytes; where it does, only its last passages' bounds shift.
         begin = np.minimum(words.start[self.word_first] if len(self.word_first) else self.word_first, max(len(raw) - 1, 0))
@@ -57,39 +62,59 @@ class Passages:
         begin = np.maximum.accumulate(begin)
         end = np.append(begin[1:], len(raw))
         long = np.maximum(end - begin, 1).astype(np.float32)
-        kind = np.full(256, 7, dtype=np.uint8)
+        kind = np.full(256, 7, dtype=np.int32)
         kind[97:123], kind[65:91], kind[48:58] = 0, 1, 2
         kind[[9, 13, 32]], kind[10], kind[128:] = 3, 4, 5
         kind[[ord(c) for c in ".,;:'\"?()-"]] = 6
-        kinds = kind[raw]
-        for k in range(8):
-            pre = np.concatenate([[0], np.cumsum(kinds == k)])
-            self.stats[:, k] = (pre[end] - pre[begin]) / long
+        kind[ord("!")], kind[ord("|")] = 8, 9
+        of = np.repeat(np.arange(0, len(begin) * 10, 10, dtype=np.int32), end - begin) + kind[raw[begin[0] : end[-1]]]
+        self.stats[:, :10] = np.bincount(of, minlength=len(begin) * 10).reshape(-1, 10) / long[:, None]
         count = np.diff(np.append(self.word_first, len(words.hash)))
         pair = np.unique((np.repeat(np.arange(len(count)), count).astype(np.uint64) << np.uint64(40)) | (words.hash >> np.uint64(24)))
-        self.stats[:, 8] = np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=len(count)) / count
+        self.stats[:, 10] = np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=len(count)) / count
         same = np.concatenate([[0], np.cumsum(np.append(words.hash[1:] == words.hash[:-1], False))])
-        self.stats[:, 9] = (same[self.word_first + count] - same[self.word_first]) / count
-        self.stats[:, 10] = long / count / 10
-        self.stats[:, 11] = np.log1p(count) / 5
-        for j, c in ((12, "!"), (13, "|")):
-            pre = np.concatenate([[0], np.cumsum(raw == ord(c))])
-            self.stats[:, j] = (pre[end] - pre[begin]) / count
+        self.stats[:, 11] = (same[self.word_first + count] - same[self.word_first]) / count
+        self.stats[:, 12] = long / count / 10
+        self.stats[:, 13] = np.log1p(count) / 5
+
+
+def log_odds(bags: list[Passages], good: np.ndarray, batch: int) -> np.ndarray:
+    """For every bucket the significant log odds of documents that aren't good: (positive part, negative part)."""
+    n = np.zeros((2, BUCKETS))
+    for b, x in enumerate(bags):
+        count = np.diff(np.append(x.word_first, len(x.bucket)))
+        doc = np.repeat(x.doc, count).astype(np.int64)
+        for buckets in (x.bucket, x.begin):
+            pair = np.unique(doc * BUCKETS + buckets)
+            own = good[b * batch + pair // BUCKETS]
+            for y in (0, 1):
+                n[y] += np.bincount((pair % BUCKETS)[own == y], minlength=BUCKETS)
+    share = (good == 0).mean()
+    total = n.sum(axis=0)
+    z = (n[0] - total * share) / np.sqrt(np.maximum(total, 1) * share * (1 - share) + 1e-9)
+    odds = np.log((n[0] + 3 * share) / (n[1] + 3 * (1 - share)) * (1 - share) / share)
+    odds = np.where(np.abs(z) >= SIGNIFICANT, odds, 0)
+    return np.stack([np.maximum(odds, 0), np.maximum(-odds, 0)], axis=1).astype(np.float32)
 
 
 class Model:
-    """The network's weights; ``score`` runs it, ``fit`` trains it with Adam."""
+    """The encoder's table and the network's weights; ``score`` runs it, ``fit`` trains it with Adam."""
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         g = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"E": (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32), "W": g(DIM + STATS, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": g(HIDDEN, ATTENTION), "U": g(HIDDEN, ATTENTION), "w": g(ATTENTION), "c": g(HIDDEN), "d": np.zeros(1, np.float32)}
+        self.odds = np.zeros((BUCKETS, 2), np.float32)
+        self.p = {"W": g(DIM + STATS, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": g(HIDDEN, ATTENTION), "U": g(HIDDEN, ATTENTION), "w": g(ATTENTION), "c": g(HIDDEN), "d": np.zeros(1, np.float32)}
         self.mean, self.dev = np.zeros(STATS, np.float32), np.ones(STATS, np.float32)
 
-    def forward(self, x: Passages) -> dict:
+    def encode(self, x: Passages) -> np.ndarray:
+        if not len(x.word_first):
+            return np.zeros((0, DIM + STATS), np.float32)
+        odds = np.concatenate([np.add.reduceat(self.odds[b], x.word_first, axis=0) for b in (x.bucket, x.begin)], axis=1)
+        return np.concatenate([np.log1p(odds), np.clip((x.stats - self.mean) / self.dev, -8, 8)], axis=1)
+
+    def forward(self, x: Passages, z: np.ndarray) -> dict:
         p = self.p
-        e = np.add.reduceat(p["E"][x.bucket], x.word_first, axis=0) if len(x.word_first) else np.zeros((0, DIM), np.float32)
-        z = np.concatenate([e, (x.stats - self.mean) / self.dev], axis=1)
         h = np.tanh(z @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         a = np.exp(np.clip((t * s) @ p["w"], -15, 15))
@@ -104,7 +129,7 @@ class Model:
 
     def score(self, x: Passages) -> np.ndarray:
         out = np.zeros(len(x.first) - 1)
-        f = self.forward(x)
+        f = self.forward(x, self.encode(x))
         out[f["docs"]] = f["y"]
         return out
 
@@ -124,34 +149,34 @@ class Model:
         dh += dt @ p["V"].T + ds @ p["U"].T
         dz = dh * (1 - f["h"] ** 2)
         g["W"], g["b"] = f["z"].T @ dz, dz.sum(axis=0)
-        de = dz @ p["W"].T[:, :DIM]
-        count = np.diff(np.append(x.word_first, len(x.bucket)))
-        row = np.repeat(np.arange(len(count)), count)
-        g["E"] = np.stack([np.bincount(x.bucket, weights=de[row, k], minlength=BUCKETS) for k in range(DIM)], axis=1).astype(np.float32)
         return g
 
     def fit(self, texts: list[str], good: list[int], epochs: int = EPOCHS, batch: int = 64, seed: int = 5) -> Model:
+        """Log odds come from one half of the documents and the network from the other, so that neither flatters the other."""
         y = np.asarray(good, dtype=np.float32)
-        share = y.mean()
+        order = np.random.default_rng(seed).permutation(len(y))
+        halves = (order[::2], order[1::2]) if len(y) > 3 else (order, order)
+        cut = lambda at: [Passages(pa.array([texts[i] for i in at[k : k + batch]], pa.string())) for k in range(0, len(at), batch)]
+        self.odds = log_odds(cut(halves[0]), y[halves[0]], batch)
+        bags, y = cut(halves[1]), y[halves[1]]
+        share = min(max(float(y.mean()), 0.02), 0.98)
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-        bags = [Passages(pa.array(texts[i : i + batch], pa.string())) for i in range(0, len(texts), batch)]
         stats = np.concatenate([b.stats for b in bags])
         self.mean, self.dev = stats.mean(axis=0), stats.std(axis=0) + 1e-3
-        m1, m2, step = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), None, 0
-        m1, m2 = m1
+        codes = [self.encode(b) for b in bags]
+        (m1, m2), step = [{k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)], 0
         rng = np.random.default_rng(seed)
         for epoch in range(epochs):
             for b in rng.permutation(len(bags)):
-                if not len(bags[b].word_first):
+                if not len(codes[b]):
                     continue
-                f = self.forward(bags[b])
+                f = self.forward(bags[b], codes[b])
                 g = self.gradient(bags[b], f, y[b * batch : (b + 1) * batch], weight[b * batch : (b + 1) * batch])
                 step += 1
-                rate = 0.01 / (1 + epoch)
                 for k, v in self.p.items():
                     m1[k] += 0.1 * (g[k] - m1[k])
                     m2[k] += 0.01 * (g[k] ** 2 - m2[k])
-                    v -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)
+                    v -= 0.01 / (1 + 0.3 * epoch) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)
         return self
 
 

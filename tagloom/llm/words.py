@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -80,7 +80,7 @@ def buffer_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a slice: doc index, hash, byte span in the lower-cased text, rows' first words."""
 
-    __slots__ = ("doc", "hash", "start", "end", "first", "n_docs", "lowered")
+    __slots__ = ("doc", "hash", "start", "end", "first", "n_docs", "lowered", "_sums")
 
     def __init__(self, arr: pa.Array):
         if isinstance(arr, pa.ChunkedArray):
@@ -105,10 +105,20 @@ class Words:
         with np.errstate(over="ignore"):
             pre = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(raw.astype(np.uint64) * fwd[:n], out=pre[1:])
-            self.hash = mix((pre[self.end] - pre[self.start]) * inv[self.start] + (self.end - self.start).astype(np.uint64))
+        self._sums = pre, inv
+        self.hash = self._hash(self.end)
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
 
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        pre, inv = self._sums
+        with np.errstate(over="ignore"):
+            return mix((pre[end] - pre[self.start]) * inv[self.start] + (end - self.start).astype(np.uint64))
+
+    def beginnings(self, n: int) -> np.ndarray:
+        """Hashes of the words' first n bytes."""
+        return self._hash(np.minimum(self.start + n, self.end))
+
 
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words within one document, and the index of each run's first word."""
