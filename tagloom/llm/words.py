@@ -48,7 +48,14 @@ def powers(n: int, base: int) -> np.ndarray:
     return out
 
 
-_POW: dict = {}
+class _Local(dict):
+    """A cache that stays in its process: it travels to workers empty."""
+
+    def __reduce__(self):
+        return _Local, ()
+
+
+_POW = _Local()
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
