@@ -8,18 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import accepted
 from .common import table
+from .credentials import credentials
 from .decontaminate import contained_items
+from .divergence import kept
+from .licenses import find_licenses
 from .packing import pack
 from .pii import find_pii
+from .sharding import shuffled
 from .simhash import near_duplicates
+from .suffixes import repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op1_decontamination": lambda s, d: contained_items(docs(s, d), table(s, d, "benchmark")),
+        "op2_suffixes": lambda s, d: repeats(docs(s, d)),
+        "op3_divergence": lambda s, d: kept(docs(s, d)),
         "op4_pii": lambda s, d: find_pii(docs(s, d)),
         "op5_simhash": lambda s, d: near_duplicates(docs(s, d)),
+        "op6_sharding": lambda s, d: shuffled(docs(s, d)),
+        "op7_credentials": lambda s, d: credentials(docs(s, d)),
+        "op8_licenses": lambda s, d: find_licenses(docs(s, d)),
         "op9_classifier": lambda s, d: accepted(docs(s, d), table(s, d, "labels")),
         "op10_packing": lambda s, d: pack(docs(s, d)),
     }
