@@ -36,3 +36,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def parts_for(rows: int, row_bytes: int, target: int = 24_000_000, least: int = 1) -> int:
     """Partitions so that each holds about ``target`` bytes."""
     return max(least, -(-rows * row_bytes // target))
+
+
+#: Ids, a few bytes each, that a join may send to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, with the hint to broadcast it if it is counted to be small.
+
+    Without it the plan would shuffle all texts before it learns how few ids there are.
+    """
+    return F.broadcast(ids) if ids.count() <= limit else ids

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, row_key
+from .common import cut, parts_for, row_key, sized
 from .components import components
 from .words import Words, mix, signed, slices
 
@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near copies."""
     found = groups(docs, **options)
-    gone = found.where("rank > 1 and key <> kept_key").select(F.col("key").alias("gone__")).distinct()
-    again = found.where("rank > 1 and key = kept_key").select(F.col("key").alias("again__")).distinct()
+    gone = sized(found.where("rank > 1 and key <> kept_key").select(F.col("key").alias("gone__")).distinct())
+    again = sized(found.where("rank > 1 and key = kept_key").select(F.col("key").alias("again__")).distinct())
     keyed = docs.withColumn("key__", row_key())
     kept = keyed.join(gone, F.col("key__") == F.col("gone__"), "left_anti")
     if not again.isEmpty():
