@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .words import Words, mix, shingle_hashes, slices
 
-MIN_WORDS, Q = 50, 25
+MIN_WORDS, Q = 50, 13
 BLOCK_WORDS = 1_000_000
 #: Words of a partition of buckets; with arrays of its positions this is about 100 MB.
 PART_WORDS = 2_000_000
