@@ -12,6 +12,7 @@ from .credentials import credentials
 from .decontaminate import contained_items
 from .divergence import kept
 from .licenses import find_licenses
+from .oracles import decontamination, divergence
 from .packing import pack
 from .pii import find_pii
 from .sharding import shuffled
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontamination(), "op3_divergence": divergence()}
