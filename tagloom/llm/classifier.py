@@ -10,28 +10,30 @@ The attention learns from these alone which passage decides, so that one bad pas
 a long text isn't averaged away.
 
 Training takes place on the driver, on a sample of at most ``TRAIN_ROWS`` labelled
-documents (those with the smallest hashes of their ids, whatever the input's size) and
-at most ``TRAIN_CHARS`` characters of each. Every passage of every whole text is scored.
+documents, those with the smallest hashes of their ids whatever the input's size, whole
+texts of at most ``TRAIN_BYTES`` together. Every passage of every whole text is scored.
 
 Defined cases: a text without words has no passage, scores 0 and is rejected; rows with
 null ids or repeated ids are scored as the others; of repeated labels the worst counts,
-null labels count as good; without usable labels of both kinds there is no model and the
-operator raises ValueError, unless there are no documents; other columns are untouched.
+null labels count as good; without labelled texts of both kinds nothing can be told
+apart, so every text with words scores 1; empty tables give empty results; other columns
+are untouched whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import free_name
 from .words import Words, buffer_of, slices
 
 PASSAGE, BUCKETS, BEGINNING, HIDDEN, ATTENTION = 64, 1 << 18, 5, 16, 12
 DIM, SIGNIFICANT = 4, 4.0
-TRAIN_ROWS, TRAIN_CHARS, EPOCHS, KEEP_AT = 8000, 20_000, 20, 0.5
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, KEEP_AT = 8000, 64_000_000, 20, 0.5
 STATS = 14
 
 
@@ -185,27 +187,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     bad = (F.coalesce(F.col("quality"), F.lit(1)) <= 0) | (F.coalesce(F.col("toxic"), F.lit(0)) > 0)
     of = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("id__")).agg(F.min(F.when(bad, 0).otherwise(1)).alias("good__"))
     chosen = of.orderBy(F.xxhash64("id__"), "id__").limit(rows)
-    text = docs.select(F.col("doc_id").cast("bigint").alias("id__"), F.substring("text", 1, TRAIN_CHARS).alias("text__"))
-    # the chosen ids are bounded by ``rows``, so they can be sent to every executor
-    return text.join(F.broadcast(chosen), "id__").groupBy("id__", "good__").agg(F.min("text__").alias("text__")).orderBy("id__").select(F.col("text__").alias("text"), F.col("good__").alias("good"))
+    text = docs.select(F.col("doc_id").cast("bigint").alias("id__"), F.col("text").cast("string").alias("text__"))
+    # the chosen ids are bounded by ``rows``, so they can be sent to every executor, and the window holds no more rows
+    got = text.join(F.broadcast(chosen), "id__").groupBy("id__", "good__").agg(F.min("text__").alias("text__"))
+    total = F.sum(F.octet_length("text__")).over(Window.orderBy(F.xxhash64("id__"), "id__"))
+    return got.withColumn("total__", total).where(F.col("total__") <= TRAIN_BYTES).orderBy("id__").select(F.col("text__").alias("text"), F.col("good__").alias("good"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model | None:
-    """The model of the sample's labels; None where no labelled document has a text."""
+    """The model of the sample's labels; None where labelled texts aren't of both kinds."""
     got = [(r.text, r.good) for r in training_sample(docs, labels, rows).collect() if r.text]
-    if not got:
-        return None
     if len({g for _, g in got}) < 2:
-        raise ValueError("the labels hold only one kind of document")
+        return None
     return Model().fit([t for t, _ in got], [g for _, g in got], epochs)
 
 
 def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
     """``docs`` with a column of scores from 0 to 1."""
     if model is None:
-        if not docs.isEmpty():
-            raise ValueError("no labelled document to learn from")
-        return docs.withColumn(name, F.lit(0.0))
+        return docs.withColumn(name, F.when(F.lower("text").rlike(r"[0-9a-z\x{80}-\x{10FFFF}]"), 1.0).otherwise(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -234,7 +234,5 @@ def accepted(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **opt
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
-    name = "score__"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("score__", docs.columns)
     return scored(docs, train(docs, labels, **options), name).where(F.col(f"`{name}`") >= keep_at).drop(name)

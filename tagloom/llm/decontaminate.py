@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, sized
+from .spans import free_name
 from .words import Words, mix, shingle_hashes, signed, slices
 
 SHINGLE, THRESHOLD = 5, 0.5
@@ -228,5 +229,6 @@ def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no item; rows with a null id go by whether such a row does."""
-    bad = sized(cut(contained_items(docs, items, **options).select(F.col("doc_id").cast("bigint").alias("bad_id__")).distinct()))
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("bad_id__")), "left_anti")
+    name = free_name("bad_id__", docs.columns)
+    bad = sized(cut(contained_items(docs, items, **options).select(F.col("doc_id").cast("bigint").alias(name)).distinct()))
+    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)), "left_anti")

@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import Disjoint
 from .words import slices
 
 RANKED, TOLERANCE, MARGIN, GAP_LINES, LEVEL = 4, 0.15, 1200, 4, 9
@@ -140,8 +141,9 @@ class Scanner:
                     found.append((len(template) - w[0], cut, name, a + words[w[2]][1], a + words[w[3] - 1][2], w[0], w[1]))
                     break
         out: list[tuple[str, int, int, float, int, int]] = []
+        taken = Disjoint()
         for _, cut, name, a, b, missing, added in sorted(found, key=lambda f: (-f[0], f[5] + f[6], -f[1], f[2], f[3])):
-            if all(b <= o[1] or a >= o[2] for o in out):
+            if taken.add(a, b):
                 out.append((name, a, b, cut, missing, added))
         return sorted(out, key=lambda o: o[1])
 
@@ -150,6 +152,7 @@ def candidates(text: str, cues: list[int]) -> list[tuple[int, int]]:
     """Spans to compress: blocks of lines with cues, at most ``MARGIN`` characters beyond a cue, and sentences with cues."""
     spans: set[tuple[int, int]] = set()
     blocks: list[list[int]] = []
+    done = -1
     for c in cues:
         a = max(text.rfind("\n", 0, c) + 1, c - MARGIN)
         end = text.find("\n", c)
@@ -158,12 +161,15 @@ def candidates(text: str, cues: list[int]) -> list[tuple[int, int]]:
             blocks[-1][1] = max(blocks[-1][1], b)
         else:
             blocks.append([a, b])
+        if c < done:
+            continue  # in the sentence of the cue before
         s = max((m.end() for m in re.finditer(r"[.!?:;]\s", text[a:c])), default=0) + a
         e = re.search(r"[.!?](?=\s|$)", text[c:b])
         while e and re.match(r"\s+\d", text[c + e.end() : b]):
             nxt = re.search(r"[.!?](?=\s|$)", text[c + e.end() : b])
             e = None if nxt is None else re.match(r"(?s).{%d}" % (e.end() + nxt.end()), text[c:b])
-        spans.add((s, c + e.end() if e else b))
+        done = c + e.end() if e else b
+        spans.add((s, done))
     return sorted(spans | {(a, b) for a, b in blocks})
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import Disjoint
 from .words import slices
 
 CUES = ("account", "acct", "iban", "konto", "cuenta", "compte", "card", "customer id", "passport")
@@ -180,11 +181,9 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
             got = ("account", m.start(1), m.end(1)) if m else None
         if got:
             found.append(got)
-    out: list[tuple[str, int, int]] = []
-    for s in sorted(set(found), key=lambda s: (_RANK[s[0]], s[1] - s[2], s[1])):
-        if all(s[2] <= o[1] or s[1] >= o[2] for o in out):
-            out.append(s)
-    return sorted(out, key=lambda s: s[1])
+    taken = Disjoint()
+    ranked = sorted(set(found), key=lambda s: (_RANK[s[0]], s[1] - s[2], s[1]))
+    return sorted((s for s in ranked if taken.add(s[1], s[2])), key=lambda s: s[1])
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import row_key
+from .spans import free_name
 
 BUCKET_BYTES, SEED = 24_000_000, 20240229
 
@@ -34,19 +35,13 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, buckets: int | None = None) -> DataFrame:
     """``docs`` in shuffled shards: their columns, ``shard`` and ``position`` in it, in this order."""
     if buckets is None:
         size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
         buckets = max(1, -(-size // bucket_bytes))
-    shard, position = _free("shard", docs.columns), _free("position", docs.columns)
-    key = _free("key", [*docs.columns, shard, position])
+    shard, position = free_name("shard", docs.columns), free_name("position", docs.columns)
+    key = free_name("key", [*docs.columns, shard, position])
     ints = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField(position, T.LongType())])
     rows = docs.withColumn(key, row_key())
     rows = rows.withColumn(shard, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col(shard))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, parts_for, row_key, sized
 from .components import components
+from .spans import free_name
 from .words import Words, mix, signed, slices
 
 BITS, RADIUS = 256, 48
@@ -265,9 +266,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = groups(docs, **options)
     gone = sized(found.where("rank > 1 and key <> kept_key").select(F.col("key").alias("gone__")).distinct())
     again = sized(found.where("rank > 1 and key = kept_key").select(F.col("key").alias("again__")).distinct())
-    keyed = docs.withColumn("key__", row_key())
-    kept = keyed.join(gone, F.col("key__") == F.col("gone__"), "left_anti")
+    key = free_name("key__", [*docs.columns, "gone__", "again__"])
+    gone_id, again_id = free_name("gone__", docs.columns), free_name("again__", docs.columns)
+    gone, again = gone.withColumnRenamed("gone__", gone_id), again.withColumnRenamed("again__", again_id)
+    keyed = docs.withColumn(key, row_key())
+    kept = keyed.join(gone, F.col(key) == F.col(gone_id), "left_anti")
     if not again.isEmpty():
-        same = F.col("key__") == F.col("again__")
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["key__"]))
+        same = F.col(key) == F.col(again_id)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
