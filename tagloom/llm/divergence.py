@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, sized
 from .words import Words, buffer_of, slices
 
 COMMON, MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 40, 200, 30, 1000
 CHAR_LIMIT, WORD_LIMIT = 0.06, 0.2
+#: Languages, about a kilobyte each, whose references are sent to every executor.
+MAX_SENT = 50_000
 CLASSES = ("lower", "upper", "digit", "space", "newline", "punctuation", "beyond_ascii", "other")
 PUNCTUATION = ".,;:'\"?()-"
 _SPLIT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
@@ -83,7 +86,8 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
 def judged(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """doc_id, lang, char_divergence, word_divergence; null where the document isn't judged."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _lang().alias("ref_lang"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    both = rows.join(references(docs, common), "ref_lang", "left").select("doc_id", "lang", "text", "ref_lang", "classes", "words", "counts", "total")
+    # one row a language: counted, and sent around if they are few, since a join by shuffle would gather each language's texts
+    both = rows.join(sized(cut(references(docs, common)), MAX_SENT), "ref_lang", "left").select("doc_id", "lang", "text", "ref_lang", "classes", "words", "counts", "total")
 
     def run(batches):
         for batch in batches:
