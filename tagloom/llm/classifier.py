@@ -32,7 +32,7 @@ from .spans import free_name
 from .words import Words, buffer_of, slices
 
 PASSAGE, BUCKETS, BEGINNING, HIDDEN, ATTENTION = 64, 1 << 18, 5, 16, 12
-DIM, SIGNIFICANT = 4, 4.0
+DIM, SIGNIFICANT = 4, 5.0
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, KEEP_AT = 8000, 64_000_000, 20, 0.5
 STATS = 14
 
@@ -154,18 +154,23 @@ class Model:
         return g
 
     def fit(self, texts: list[str], good: list[int], epochs: int = EPOCHS, batch: int = 64, seed: int = 5) -> Model:
-        """Log odds come from one half of the documents and the network from the other, so that neither flatters the other."""
-        y = np.asarray(good, dtype=np.float32)
-        order = np.random.default_rng(seed).permutation(len(y))
-        halves = (order[::2], order[1::2]) if len(y) > 3 else (order, order)
-        cut = lambda at: [Passages(pa.array([texts[i] for i in at[k : k + batch]], pa.string())) for k in range(0, len(at), batch)]
-        self.odds = log_odds(cut(halves[0]), y[halves[0]], batch)
-        bags, y = cut(halves[1]), y[halves[1]]
+        """The network learns each half of the documents with the log odds of the other, so that these don't flatter it; scores use those of all."""
+        order = np.random.default_rng(seed).permutation(len(good))
+        y = np.asarray(good, dtype=np.float32)[order]
+        middle = -(-len(y) // (2 * batch)) * batch
+        bags = [Passages(pa.array([texts[i] for i in order[k : k + batch]], pa.string())) for k in range(0, len(y), batch)]
+        halves = (slice(0, middle // batch), slice(middle // batch, len(bags)))
+        labels = (y[:middle], y[middle:])
         share = min(max(float(y.mean()), 0.02), 0.98)
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         stats = np.concatenate([b.stats for b in bags])
         self.mean, self.dev = stats.mean(axis=0), stats.std(axis=0) + 1e-3
-        codes = [self.encode(b) for b in bags]
+        codes: list[np.ndarray] = []
+        for own, other in ((0, 1), (1, 0)):
+            if len(labels[other]):
+                self.odds = log_odds(bags[halves[other]], labels[other], batch)
+            codes += [self.encode(b) for b in bags[halves[own]]]
+        self.odds = log_odds(bags, y, batch)
         (m1, m2), step = [{k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)], 0
         rng = np.random.default_rng(seed)
         for epoch in range(epochs):
