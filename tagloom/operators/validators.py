@@ -28,7 +28,8 @@ from .schemas import UNNAMED
 SEVERITIES = {"error": 1, "warning": 2, "info": 3, "hint": 4}
 _KEY = ["path", "ordinal"]
 _BASE = [*_KEY, "attrs", "tag_start", "tag_end", "content", "is_content_modified"]
-_VALUES = "struct<error: string, found: array<struct<idx: int, value: string, s: bigint, e: bigint>>>"
+_VALUE = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
+_VALUES = T.StructType([T.StructField("error", T.StringType()), T.StructField("found", T.ArrayType(_VALUE))])
 
 
 def attr(name: str) -> Column:

@@ -105,7 +105,7 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
         self.globs = [g for g in options.get("globs", "").split("\n") if g]
         self.ignore = [g for g in options.get("ignore", "").split("\n") if g]
-        self.only = options.get("paths")
+        self.only = options.get("only")
 
     def partitions(self):
         allow, deny = ([re.compile(glob_regex(g)) for g in gs] for gs in (self.globs, self.ignore))
@@ -120,7 +120,7 @@ class _Reader(DataSourceReader):
 
 
 class RepoFiles(DataSource):
-    """``spark.read.format("repo_files").load(root)``, with options globs, ignore and paths, one a line."""
+    """``spark.read.format("repo_files").load(root)``, with options globs, ignore and only (paths), one a line."""
 
     @classmethod
     def name(cls):
@@ -137,7 +137,7 @@ def read_repo(spark: SparkSession, root: str, globs: list[str] | None = None, ig
     """path, content of the files of a tree, or of ``paths`` alone; path filters apply before anything is read."""
     spark.dataSource.register(RepoFiles)
     reader = spark.read.format("repo_files").option("globs", "\n".join(globs or [])).option("ignore", "\n".join(ignore or []))
-    return (reader.option("paths", "\n".join(paths)) if paths is not None else reader).load(root)
+    return (reader.option("only", "\n".join(paths)) if paths is not None else reader).load(root)
 
 
 def in_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:

@@ -19,5 +19,5 @@ def validate_stream(spark: SparkSession, diffs: str, files: DataFrame, out: str,
         if not rows.isEmpty():
             validate(files, changes_of(rows.withColumnRenamed("value", "text")), options).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = spark.readStream.option("wholetext", True).text(diffs)
+    stream = spark.readStream.text(diffs, wholetext=True)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

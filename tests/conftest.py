@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     home = tmp_path_factory.mktemp("spark")
     conf = {
-        "spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g",
+        "spark.master": "local[4]", "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g",
         "spark.sql.warehouse.dir": str(home / "warehouse"), "spark.checkpoint.dir": str(home / "checkpoints"), "spark.ui.showConsoleProgress": "false",
     }
     session = SparkSession.builder.config(map=conf).getOrCreate()
