@@ -11,7 +11,7 @@ centre, and keeps the fingerprints whose weight there, relative to the centre, i
 most 11: 5.5 % of unrelated fingerprints, but 36 % of the partners of a kept one at the
 radius. Kept lists are filtered again with filters of their own on the next strip, until
 unrelated lists would be small; these are compared by brute force. ``REPEATS``
-repetitions find at least 90 % of pairs at the radius, more of closer ones. No list,
+repetitions, and one more per level, find at least 90 % of pairs, more of closer ones. No list,
 bucket or group has a cap. Filtering is row-local: a fingerprint computes the paths of
 the lists that it reaches, and one shuffle brings each list together.
 
@@ -24,6 +24,7 @@ are untouched whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,10 @@ from .spans import free_name
 from .words import Words, mix, signed, slices
 
 BITS, RADIUS = 256, 48
-FILTERS, REPEATS = 48, 4
+FILTERS, REPEATS = 48, 3
 SUBSET, WEIGHT, PASS = 32, 11, 0.0551
 LEAF, SEED = 1000, 20150426
+ROOT_ROWS = 100_000
 _FP = ["f0", "f1", "f2", "f3"]
 
 
@@ -94,6 +96,10 @@ def depth_for(n: int, leaf: int = LEAF) -> int:
     return min(BITS // SUBSET, max(1, math.ceil(math.log(max(n, leaf) / leaf) / -math.log(PASS) - 1e-9)))
 
 
+def repeats_for(depth: int) -> int:
+    return REPEATS + depth
+
+
 def strips_of(fp: np.ndarray, depth: int, repeat: int, seed: int) -> np.ndarray:
     """The strips of all fingerprints under the random permutation of a repetition, one uint64 each."""
     order = np.random.default_rng([seed, repeat]).permutation(BITS)
@@ -107,38 +113,34 @@ def strips_of(fp: np.ndarray, depth: int, repeat: int, seed: int) -> np.ndarray:
     return out
 
 
-def paths(fp: np.ndarray, depth: int, repeats: int = REPEATS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint's index, id of a final list that it reaches), for all of its lists."""
-    rows, lists = [], []
+def filters(path: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinate subsets, centres and the ids of the lists of the filters below the list ``path``."""
+    with np.errstate(over="ignore"):
+        ids = mix(path * np.uint64(0xD6E8FEB86659FD93) + np.arange(1, FILTERS + 1, dtype=np.uint64))
+        return pool[(ids >> np.uint64(40)).astype(np.int64) % len(pool)], mix(ids + np.uint64(0x632BE59BD9B4E019)), ids
+
+
+def paths(fp: np.ndarray, depth: int, repeats: int, seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(fingerprints' indexes, ids of the final lists that they reach), in portions, until all are there."""
     wide = min(64, BITS // depth)
+    rng = np.random.default_rng([seed, depth])
+    own = np.zeros((4096, 64), dtype=np.uint8)
+    for row in own:
+        row[rng.permutation(wide)[:SUBSET]] = 1
+    pool = np.packbits(own, axis=1).view(np.uint64)[:, 0]
 
     def recurse(strips, at, level, path):
-        rng = np.random.default_rng([seed, *path])
-        centre = rng.integers(0, 2**64, FILTERS, dtype=np.uint64)
-        for j in range(FILTERS):
-            own = np.zeros(64, dtype=np.uint8)
-            own[rng.permutation(wide)[:SUBSET]] = 1
-            subset = np.packbits(own).view(np.uint64)[0]
-            kept = at[np.bitwise_count((strips[at, level] ^ centre[j]) & subset) <= WEIGHT]
-            if not len(kept):
-                continue
-            if level + 1 == depth:
-                rows.append(kept)
-                lists.append(np.full(len(kept), hash_path([*path, j]), dtype=np.int64))
-            else:
-                recurse(strips, kept, level + 1, [*path, j])
+        subset, centre, ids = filters(path, pool)
+        kept = np.bitwise_count((strips[at, level, None] ^ centre) & subset) <= WEIGHT
+        if level + 1 == depth:
+            i, j = np.nonzero(kept)
+            yield at[i], signed(ids[j])
+            return
+        for j in np.flatnonzero(kept.any(axis=0)):
+            yield from recurse(strips, at[kept[:, j]], level + 1, ids[j])
 
     for r in range(repeats):
-        recurse(strips_of(fp, depth, r, seed), np.arange(len(fp)), 0, [r])
-    return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def hash_path(path: list[int]) -> int:
-    x = np.array([7], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for p in path:
-            x = mix(x * np.uint64(0xD6E8FEB86659FD93) + np.uint64(p + 1))
-    return int(x.view(np.int64)[0])
+        yield from recurse(strips_of(fp, depth, r, seed), np.arange(len(fp)), 0, np.uint64(seed * 64 + r))
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -198,18 +200,27 @@ def stars(n: int, left: np.ndarray, right: np.ndarray, name: np.ndarray) -> tupl
     return name[at], label[at]
 
 
-def _search(batches, depth: int, radius: int, repeats: int, seed: int):
-    def rows():
-        for batch in batches:
-            if batch.num_rows:
-                yield batch
+def _search(batches, depth: int, repeats: int, seed: int):
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    table = pa.Table.from_batches(got).combine_chunks()
+    fp = np.stack([table.column(1 + j).to_numpy() for j in range(4)], axis=1).view(np.uint64)
+    rows, lists, n = [], [], 0
+
+    def batch():
+        take = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), *(table.column(c).combine_chunks().take(take) for c in range(5))], ["list", "fid", *_FP])
 
-    for batch in rows():
-        fp = np.stack([batch.column(1 + j).to_numpy(zero_copy_only=False) for j in range(4)], axis=1).view(np.uint64)
-        at, where = paths(fp, depth, repeats, seed)
-        for k in range(0, len(at), 500_000):
-            take = pa.array(at[k : k + 500_000])
-            yield pa.RecordBatch.from_arrays([pa.array(where[k : k + 500_000]), *(batch.column(c).take(take) for c in range(5))], ["list", "fid", *_FP])
+    for at, where in paths(fp, depth, repeats, seed):
+        rows.append(at)
+        lists.append(where)
+        n += len(at)
+        if n >= 200_000:
+            yield batch()
+            rows, lists, n = [], [], 0
+    if n:
+        yield batch()
 
 
 def _compare(batches, radius: int):
@@ -234,17 +245,18 @@ def _compare(batches, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], ["u", "v"])
 
 
-def near_edges(nodes: DataFrame, n: int, radius: int = RADIUS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def near_edges(nodes: DataFrame, n: int, radius: int = RADIUS, repeats: int | None = None, seed: int = SEED) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``nodes`` (fid, f0..f3), ``n`` in number."""
     depth = depth_for(n)
+    repeats = repeats or repeats_for(depth)
     per_row = repeats * max(1, round((FILTERS * PASS) ** depth))
-    # whole partitions are one list at the root of the recursion, so they should be large
-    lists = nodes.repartition(parts_for(n, 40 + 56 * per_row, 48_000_000, 6)).mapInArrow(lambda b: _search(b, depth, radius, repeats, seed), "list bigint, fid bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    # a partition is the list at the root of its recursion: many rows share the cost of walking through the lists
+    lists = nodes.repartition(max(6, -(-n // ROOT_ROWS))).mapInArrow(lambda b: _search(b, depth, repeats, seed), "list bigint, fid bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
     together = lists.repartition(parts_for(n * per_row, 48, 24_000_000, 6), "list")
     return together.mapInArrow(lambda b: _compare(b, radius), "u bigint, v bigint").distinct()
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def groups(docs: DataFrame, radius: int = RADIUS, repeats: int | None = None, seed: int = SEED) -> DataFrame:
     """key, doc_id, root, rank and kept_id of all rows in groups of two or more; rank 1 stays."""
     sig = cut(fingerprints(docs))
     nodes = cut(sig.groupBy(*_FP).agg(F.min("key").alias("fid"), F.count("*").alias("copies")).select("fid", *_FP, "copies"))

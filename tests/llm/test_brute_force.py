@@ -173,8 +173,8 @@ def test_op5_recall_against_all_pairs(spark):
     _, fp = simhash.fingerprints_of(Words(pa.array(texts)), simhash.spread_table())
     i, j = simhash.close_pairs(fp, fp, simhash.RADIUS)
     truth = set(zip(i[i < j].tolist(), j[i < j].tolist()))
-    for depth in (1, 2):
-        at, where = simhash.paths(fp, depth)
+    for depth in (1, 2, 3):
+        at, where = (np.concatenate(x) for x in zip(*simhash.paths(fp, depth, simhash.repeats_for(depth))))
         lists = defaultdict(list)
         for a, w in zip(at.tolist(), where.tolist()):
             lists[w].append(a)
