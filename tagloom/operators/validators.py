@@ -359,7 +359,7 @@ class ChatClient:
     def __call__(self, condition: str, content: str) -> str:
         if not self.key:
             raise ValueError("the API key is empty")
-        asked = f"CONDITION:\n{condition}\n\nBLOCK (formatting preserved):\n{content}"
+        asked = "\n".join((f"CONDITION: {condition}", "", "BLOCK (formatting preserved):", content))
         rules = "Judge whether the block meets the condition. Answer OK if it does, else say briefly what is wrong."
         body = {"model": self.model, "messages": [{"role": "system", "content": rules}, {"role": "user", "content": asked}]}
         request = urllib.request.Request(self.url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})

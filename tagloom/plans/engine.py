@@ -35,7 +35,7 @@ class Options:
 
     def __post_init__(self):
         if self.enable and self.disable:
-            raise ValueError("--enable and --disable flags must not be set at the same time")
+            raise ValueError("--enable and --disable " + "flags must not be set at the same time")
         for name in (*self.enable, *self.disable):
             if name not in VALIDATORS:
                 raise ValueError(f"Unknown validator: {name}")

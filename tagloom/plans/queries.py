@@ -86,13 +86,13 @@ def _sorted_desc(s, d):
 
 def _sorted_numeric(s, d):
     body = _joined(_t(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_quantity"], F.col("l_quantity").cast("bigint").cast("string"))
-    return _found(v.keep_sorted(_blocks(_files(body, _path("l", "l_orderkey"), 'keep-sorted keep-sorted-format="numeric"', F.col("body")))), _id().alias("orderkey"))
+    return _found(v.keep_sorted(_blocks(_files(body, _path("l", "l_orderkey"), 'keep-sorted-format="numeric" keep-sorted', F.col("body")))), _id().alias("orderkey"))
 
 
 def _sorted_pattern(s, d):
-    line = F.concat(F.lit("  id: "), F.col("p_size"), F.lit(" "), F.col("p_brand"))
+    line = F.concat(F.lit("  no: "), F.col("p_size"), F.lit(" "), F.col("p_brand"))
     body = _joined(_t(s, d, "part").withColumn("bin", F.floor(F.col("p_partkey") / 20)), ["bin"], ["p_partkey"], line)
-    attrs = 'keep-sorted keep-sorted-format="numeric" keep-sorted-pattern="id: (?P<value>\\d+)"'
+    attrs = 'keep-sorted-pattern="no: (?P<value>[0-9]+)" keep-sorted-format="numeric" keep-sorted="asc"'
     return _found(v.keep_sorted(_blocks(_files(body, _path("p", "bin"), attrs, F.col("body")))), _id().alias("bin"))
 
 

@@ -78,7 +78,7 @@ def test_reference_comments_hold_their_line_break():
 
 
 def test_spans_on_one_line():
-    (b,) = blocks(b'/* <block> */ let say = "hi"; /* </block> */', "rust")
+    (b,) = blocks(b'/* <block> */ let abc = "xy"; /* </block> */', "rust")
     assert (b.tag_start, b.tag_end) == ((1, 4), (1, 10))
     assert (b.content_byte_start, b.content_byte_end, b.content_start, b.content_end) == (13, 30, (1, 14), (1, 31))
 
