@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import shipped
 from .spans import free_name
 from .words import Words, buffer_of, slices
 
@@ -211,13 +212,14 @@ def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFra
     """``docs`` with a column of scores from 0 to 1."""
     if model is None:
         return docs.withColumn(name, F.when(F.lower("text").rlike(r"[0-9a-z\x{80}-\x{10FFFF}]"), 1.0).otherwise(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model_of = shipped(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches):
+        network = model_of()
         for batch in batches:
             for part in slices(batch, "text"):
-                y = shared.value.score(Passages(part.column(at)))
+                y = network.score(Passages(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y)], [*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,9 @@ def sized(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     Without it the plan would shuffle all texts before it learns how few ids there are.
     """
     return F.broadcast(ids) if ids.count() <= limit else ids
+
+
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts an object with the classes of this package that it is made of; the function returned gives it to a task."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)

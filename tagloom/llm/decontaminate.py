@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized
+from .common import cut, shipped, sized
 from .spans import free_name
 from .words import Words, mix, shingle_hashes, signed, slices
 
@@ -144,10 +144,10 @@ class ItemIndex:
 
 
 def _search_all(docs: DataFrame, index: ItemIndex) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    index_of = shipped(docs.sparkSession, index)
 
     def run(batches):
-        idx = shared.value
+        idx = index_of()
         blooms = {kk: idx.bloom(kk) for kk in idx.by_k}
         for batch in batches:
             for part in slices(batch, "text"):

@@ -246,8 +246,10 @@ def _runs(batches, depth: int):
         yield out(0, of[a], ids.take(pa.array(doc[a])), pos[a] - start[doc[a]], n, at[a])
 
 
-def _locate(runs: pa.Table, directory: pa.Table) -> pa.Table:
+def _locate(table: pa.Table) -> pa.Table:
     """Replaces positions in the sources' block by documents and positions in them."""
+    kind = table.column("kind").to_numpy()
+    runs, directory = (table.take(pa.array(np.flatnonzero(kind == k))) for k in (0, 1))
     start = directory.column("start_word").to_numpy()
     order = np.argsort(start, kind="stable")
     at = runs.column("source_word").to_numpy()
@@ -281,5 +283,4 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, partitions:
         rows = rows.mapInArrow(lambda b: _name_buckets(b, parts), _ROW).repartitionById(parts, F.col("to"))
         rows = rows.mapInArrow(lambda b, s=shift, w=wide: _refine(b, parts, s, w), _ROW).repartitionById(parts, F.col("to"))
     runs = cut(rows.mapInArrow(lambda b: _sources(b, parts), _ROW).repartitionById(parts, F.col("to")).mapInArrow(lambda b: _runs(b, min_words), _RUN))
-    found, directory = runs.where("kind = 0"), runs.where("kind = 1")
-    return found.groupBy("block").cogroup(directory.groupBy("block")).applyInArrow(_locate, "doc_id bigint, start_word bigint, n_words bigint, source_id bigint, source_word bigint")
+    return runs.groupBy("block").applyInArrow(_locate, "doc_id bigint, start_word bigint, n_words bigint, source_id bigint, source_word bigint")
