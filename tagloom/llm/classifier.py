@@ -34,7 +34,7 @@ from .words import Words, buffer_of, slices
 
 PASSAGE, BUCKETS, BEGINNING, HIDDEN, ATTENTION = 64, 1 << 18, 5, 16, 12
 DIM, SIGNIFICANT = 4, 5.0
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS, KEEP_AT = 8000, 64_000_000, 20, 0.5
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, KEEP_AT = 8000, 32_000_000, 20, 0.5
 STATS = 14
 
 
@@ -53,8 +53,8 @@ class Passages:
         self.word_first = words.first[self.doc] + nth * PASSAGE
         # two entries a word: of the whole and, in the table's other half, of its beginning, which inflected forms share
         half = np.uint64(BUCKETS // 2 - 1)
-        self.bucket = (words.hash & half).astype(np.int64)
-        self.begin = (words.beginnings(BEGINNING) & half).astype(np.int64) + BUCKETS // 2
+        self.bucket = (words.hash & half).astype(np.int32)
+        self.begin = (words.beginnings(BEGINNING) & half).astype(np.int32) + np.int32(BUCKETS // 2)
         raw, off = buffer_of(column)
         # Lower-casing may change a text's length in bytes; where it does, only its last passages' bounds shift.
         begin = np.minimum(words.start[self.word_first] if len(self.word_first) else self.word_first, max(len(raw) - 1, 0))
