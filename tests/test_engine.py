@@ -14,7 +14,7 @@ from tagloom.operators import validators as v
 from tagloom.operators.changes import mark_modified
 from tagloom.operators.extract import extract_blocks, extract_comments, format_of
 from tagloom.plans import queries
-from tagloom.plans.engine import Options, ValidationError, changes_of, has_errors, list_blocks, listing, report, validate
+from tagloom.plans.engine import VALIDATORS, Options, ValidationError, changes_of, has_errors, list_blocks, listing, report, validate
 from tagloom.sources.repo import contained, diff_text, find_root, in_memory, read_diff, read_repo, walk
 from tagloom.streaming.diffs import validate_stream
 
@@ -22,6 +22,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def run(spark, content, path="a.py", **options):
+    """The report of one file, by the checks that it asks for."""
+    options.setdefault("enable", [n for n in VALIDATORS if f"{n}=" in content or f"{n} " in content or f"{n}>" in content] or ["line-count"])
     return json.loads(report(validate(in_memory(spark, {path: content}), None, Options(**options))) or "{}").get(path, [])
 
 
