@@ -1,13 +1,15 @@
 """License scan by conditional compression.
 
 Cue words mark lines, and lines near each other form candidate blocks; each sentence
-with a cue is a candidate too. A candidate is compressed once on its own and once with
-each license template as a raw Zstandard dictionary: the more of it the template
-explains, the smaller the second result. Templates are ranked by the relative reduction,
-and the best ``RANKED`` are confirmed in this order by the exact differences in wording
+with a cue is a candidate too. A candidate is compressed in lower case once on its own
+and once with each license template as a raw Zstandard dictionary: the more of it the
+template explains, the smaller the second result. Templates are ranked by the relative
+reduction, and all are confirmed in this order by the exact differences in wording
 between template and candidate: words of the template that are missing or changed, and
 words put in between. A template is confirmed if these are at most ``TOLERANCE`` of its
-words. Of overlapping confirmed spans the one that explains most words stands.
+words; one that has more words missing from the candidate altogether can't be, so it is
+neither compressed with nor compared. Of overlapping confirmed spans the one that explains
+most words stands, of equals the one with fewest differences, then the best reduction.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated
 results; null ids are kept; a text without line breaks is cut around its cues, so its
@@ -18,6 +20,7 @@ name; other columns are ignored whatever their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import ahocorasick
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .spans import Disjoint
 from .words import slices
 
-RANKED, TOLERANCE, MARGIN, GAP_LINES, LEVEL = 4, 0.15, 1200, 4, 9
+TOLERANCE, MARGIN, GAP_LINES, LEVEL = 0.15, 1200, 4, 9
 CUES = ("licens", "licenc", "copyright", "warrant", "spdx", "rights reserved", "public domain", "redistribut", "permission", "liabil", "merchantab", "gnu ", "creative commons", "cc by", "cc-by", "cc0")
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -97,17 +100,26 @@ class Scanner:
         for cue in CUES:
             self.cues.add_word(cue, len(cue))
         self.cues.make_automaton()
-        self.templates = []
+        self.templates, self.counts = [], []
         for name, texts in TEMPLATES.items():
             for text in texts:
-                d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, [w for w, _, _ in words_of(text)], zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
-
-    def reductions(self, block: str) -> list[tuple[float, int]]:
-        """(relative reduction, template), largest first."""
-        raw = block.encode()
+                d = zstandard.ZstdCompressionDict(lowered(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                words = [w for w, _, _ in words_of(text)]
+                self.counts.append(Counter(words))
+                self.templates.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+
+    def possible(self, words: list[str]) -> list[int]:
+        """Templates of which few enough words are missing from ``words``, whatever their order."""
+        have = Counter(words)
+        return [i for i, n in enumerate(self.counts) if (n - have).total() <= TOLERANCE * n.total()]
+
+    def reductions(self, block: str, of: list[int]) -> list[tuple[float, int]]:
+        """(relative reduction, template) of the templates ``of``, largest first."""
+        if not of:
+            return []
+        raw = lowered(block).encode()
         alone = len(self.plain.compress(raw))
-        got = [(round(1 - len(c.compress(raw)) / alone, 6), i) for i, (_, _, c) in enumerate(self.templates)]
+        got = [(round(1 - len(self.templates[i][2].compress(raw)) / alone, 6), i) for i in of]
         return sorted(got, key=lambda r: (-r[0], -len(self.templates[r[1]][1]), self.templates[r[1]][0]))
 
     def wording(self, words: list[str], template: list[str]) -> tuple[int, int, int, int] | None:
@@ -132,14 +144,12 @@ class Scanner:
         for a, b in candidates(text, cues):
             block = text[a:b]
             words = words_of(block)
-            for cut, i in self.reductions(block)[:RANKED]:
+            plain = [x for x, _, _ in words]
+            for cut, i in self.reductions(block, self.possible(plain)):
                 name, template, _ = self.templates[i]
-                if cut <= 0:
-                    break
-                w = self.wording([x for x, _, _ in words], template)
+                w = self.wording(plain, template)
                 if w and w[0] + w[1] <= TOLERANCE * len(template):
                     found.append((len(template) - w[0], cut, name, a + words[w[2]][1], a + words[w[3] - 1][2], w[0], w[1]))
-                    break
         out: list[tuple[str, int, int, float, int, int]] = []
         taken = Disjoint()
         for _, cut, name, a, b, missing, added in sorted(found, key=lambda f: (-f[0], f[5] + f[6], -f[1], f[2], f[3])):

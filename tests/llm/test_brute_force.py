@@ -282,6 +282,16 @@ def test_op8_every_template_is_recognised_also_with_a_word_changed():
     assert len(scanner.scan("copyright license " * 5000)) == 0
 
 
+def test_op8_wording_decides_whatever_the_case_and_the_rank():
+    scanner = licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for form in (text, text.lower(), text.upper()):
+                assert [(g[0], g[4], g[5]) for g in scanner.scan(form)] == [(name, 0, 0)], form
+    for text in ("This project is licensed under the MIT License.", "Licensed under the MIT license.", "This project is LICENSED UNDER THE MIT LICENSE."):
+        assert [(g[0], g[4], g[5]) for g in scanner.scan(text)] == [("MIT", 0, 0)], text
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="tables are absent")
 def test_op9_on_held_out_labels():
     rows = duckdb.sql("select text, case when quality = 1 and toxic = 0 then 1 else 0 end from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by hash(doc_id)").fetchall()
