@@ -264,6 +264,18 @@ def test_op7_interval_join_against_all_pairs(spark):
     assert got == link_slowly(texts, credentials.SCOPE) and len(got) > 100
 
 
+def test_op7_reads_quoted_names_and_user_info_of_urls(spark):
+    texts = [
+        '{"username": "app", "password": "hunter2hunter2", "host": "db.example.com"}', "postgres://app:S3cretPw@db.example.com/x", "redis://:pa@ss@10.1.2.3:6379/0",
+        "postgres://user:secret12@localhost:5432/x token=abcdefgh", "see https://example.com/@joe or ftp://joe@example.com/", "https://x:pw@example.com/a",
+    ]
+    got = sorted((r.doc_id, r.access_id or "", r.secret, r.endpoint) for r in credentials.credentials(frame(spark, texts)).collect())
+    assert got == [
+        (0, "app", "hunt**********", "db.example.com"), (1, "app", "S3cr****", "db.example.com/x"), (2, "", "*****", "10.1.2.3:6379/0"),
+        (3, "user", "abcd****", "localhost:5432/x"), (3, "user", "secr****", "localhost:5432/x"), (5, "x", "**", "example.com/a"),
+    ]
+
+
 def test_op8_every_template_is_recognised_also_with_a_word_changed():
     scanner, rng = licenses.Scanner(), random.Random(2)
     words = vocabulary(rng)
