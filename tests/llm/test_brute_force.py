@@ -276,6 +276,15 @@ def test_op7_reads_quoted_names_and_user_info_of_urls(spark):
     ]
 
 
+def test_op7_private_keys_reach_to_their_end(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEpAIBAAKCAQEA-/+\n" * 90 + "-----END RSA PRIVATE KEY-----"
+    texts = [f"{key}\nuser=joe {'x ' * 100}host=db.example.com", f"user=joe\n{key}", f"{key[:60]} {'x ' * 300} user=joe", f"{key}{' x' * 300} user=joe", f"{key[:300]}\n{key}\nuser=joe"]
+    rows = credentials.credentials(frame(spark, texts)).collect()
+    got = {(r.doc_id, r.id_start, r.secret_start, r.endpoint_start, r.strength.startswith("strong")) for r in rows}
+    assert got == link_slowly(texts, credentials.SCOPE)
+    assert {(r.doc_id, r.access_id, r.secret_start, r.endpoint) for r in rows} == {(0, "joe", 0, "db.example.com"), (1, "joe", 9, None), (2, None, 0, None), (3, None, 0, None), (4, None, 0, None), (4, "joe", 301, None)}
+
+
 def test_op8_every_template_is_recognised_also_with_a_word_changed():
     scanner, rng = licenses.Scanner(), random.Random(2)
     words = vocabulary(rng)
