@@ -10,9 +10,10 @@ permuted at random and divided into strips, one per level. At a level, each of
 centre, and keeps the fingerprints whose weight there, relative to the centre, is at
 most 11: 5.5 % of unrelated fingerprints, but 36 % of the partners of a kept one at the
 radius. Kept lists are filtered again with filters of their own on the next strip, until
-unrelated lists would be small; these are compared by brute force. ``REPEATS``
-repetitions, and one more per level, find at least 90 % of pairs, more of closer ones. No list,
-bucket or group has a cap. Filtering is row-local: a fingerprint computes the paths of
+unrelated lists would be small; these are compared by brute force. The number of
+repetitions follows from the modelled recall of one (``recall_of``), so that a pair at the
+radius is found with a probability of ``RECALL`` at least, at any depth; closer ones more
+often. No list, bucket or group has a cap. Filtering is row-local: a fingerprint computes the paths of
 the lists that it reaches, and one shuffle brings each list together.
 
 Defined cases: a null or wordless text has no fingerprint, is in no group and is kept;
@@ -37,7 +38,7 @@ from .spans import free_name
 from .words import Words, mix, signed, slices
 
 BITS, RADIUS = 256, 48
-FILTERS, REPEATS = 48, 3
+FILTERS, REPEATS, RECALL = 48, 3, 0.9
 SUBSET, WEIGHT, PASS = 32, 11, 0.0551
 LEAF, SEED = 1000, 20150426
 ROOT_ROWS = 100_000
@@ -96,8 +97,26 @@ def depth_for(n: int, leaf: int = LEAF) -> int:
     return min(BITS // SUBSET, max(1, math.ceil(math.log(max(n, leaf) / leaf) / -math.log(PASS) - 1e-9)))
 
 
+def recall_of(depth: int, radius: int = RADIUS, trials: int = 20_000) -> float:
+    """Probability that one repetition brings a pair ``radius`` bits apart into one list; modelled, always the same."""
+    half = lambda n, k: math.comb(n, k) / 2**n
+    # both are within the weight of a random centre, if they differ in k of the subset's coordinates
+    both = np.array([sum(half(SUBSET - k, x) * half(k, y) for x in range(SUBSET - k + 1) for y in range(k + 1) if x + max(y, k - y) <= WEIGHT) for k in range(SUBSET + 1)])
+    wide = min(64, BITS // depth)
+    kept = np.zeros(wide + 1)
+    for d in range(wide + 1):
+        kept[d] = sum(math.comb(d, k) * math.comb(wide - d, SUBSET - k) * both[k] for k in range(min(d, SUBSET) + 1) if SUBSET - k <= wide - d) / math.comb(wide, SUBSET)
+    strips = [wide] * depth + [BITS - wide * depth]
+    differ = np.random.default_rng(SEED).multivariate_hypergeometric(strips, radius, size=trials, method="marginals")
+    found = np.ones(trials)
+    for level in reversed(range(depth)):
+        found = 1 - (1 - kept[differ[:, level]] * found) ** FILTERS
+    return float(found.mean())
+
+
 def repeats_for(depth: int) -> int:
-    return REPEATS + depth
+    """Repetitions that find ``RECALL`` of the pairs at the radius; ``REPEATS`` and one more per level at least."""
+    return max(REPEATS + depth, math.ceil(math.log(1 - RECALL) / math.log(1 - recall_of(depth))))
 
 
 def strips_of(fp: np.ndarray, depth: int, repeat: int, seed: int) -> np.ndarray:

@@ -216,6 +216,22 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}, 300: 300, 301: 300}
 
 
+def test_op5_finds_pairs_near_the_radius_at_depth_4():
+    rng = np.random.default_rng(5)
+    depth, n = 4, 1000
+    bits = rng.integers(0, 2, (n, simhash.BITS), dtype=np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[rng.permutation(simhash.BITS)[: rng.integers(45, 49)]] ^= 1
+    fp = np.packbits(np.concatenate([bits, other]), axis=1).view(np.uint64)
+    found = np.zeros(n, dtype=bool)
+    for at, where in simhash.paths(fp, depth, simhash.repeats_for(depth)):
+        a, b = at < n, at >= n
+        left, right = set(zip(at[a].tolist(), where[a].tolist())), set(zip((at[b] - n).tolist(), where[b].tolist()))
+        found[[i for i, _ in left & right]] = True
+    assert found.mean() >= 0.9, found.mean()
+
+
 def test_op6_is_a_uniform_permutation_that_depends_on_the_seed_alone(spark):
     texts = [f"text {i}" for i in range(4000)]
     runs = [{r.doc_id: (r.shard, r.position) for r in sharding.shuffled(frame(spark, texts, p), seed=s, buckets=8).collect()} for p, s in ((3, 1), (7, 1), (3, 2))]
