@@ -11,7 +11,9 @@ a long text isn't averaged away.
 
 Training takes place on the driver, on a sample of at most ``TRAIN_ROWS`` labelled
 documents, those with the smallest hashes of their ids whatever the input's size, whole
-texts of at most ``TRAIN_BYTES`` together. Every passage of every whole text is scored.
+texts of at most ``TRAIN_BYTES`` together. The shortest of each kind come first, and texts
+of more than a hundredth of these bytes last, so that a few long ones don't take the place
+of all others. Every passage of every whole text is scored.
 
 Defined cases: a text without words has no passage, scores 0 and is rejected; rows with
 null ids or repeated ids are scored as the others; of repeated labels the worst counts,
@@ -34,6 +36,7 @@ from .words import Words, buffer_of, slices
 
 PASSAGE, BUCKETS, BEGINNING, HIDDEN, ATTENTION = 64, 1 << 18, 5, 16, 12
 DIM, SIGNIFICANT = 4, 5.0
+LONG_SHARE = 100
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, KEEP_AT = 8000, 32_000_000, 20, 0.5
 STATS = 14
 
@@ -196,8 +199,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     text = docs.select(F.col("doc_id").cast("bigint").alias("id__"), F.col("text").cast("string").alias("text__"))
     # the chosen ids are bounded by ``rows``, so they can be sent to every executor, and the window holds no more rows
     got = text.join(F.broadcast(chosen), "id__").groupBy("id__", "good__").agg(F.min("text__").alias("text__"))
-    total = F.sum(F.octet_length("text__")).over(Window.orderBy(F.xxhash64("id__"), "id__"))
-    return got.withColumn("total__", total).where(F.col("total__") <= TRAIN_BYTES).orderBy("id__").select(F.col("text__").alias("text"), F.col("good__").alias("good"))
+    size, by_hash = F.octet_length("text__"), (F.xxhash64("id__"), F.col("id__"))
+    nth = F.row_number().over(Window.partitionBy("good__").orderBy(F.coalesce(size, F.lit(0)) == 0, size, *by_hash))
+    # the shortest of each kind, then by hash, then long texts by length: what doesn't fit never keeps out what does
+    last = F.when(nth == 1, -1).when(size > TRAIN_BYTES // LONG_SHARE, size).otherwise(0)
+    total = F.sum(size).over(Window.orderBy("last__", *by_hash))
+    return got.withColumn("last__", last).withColumn("total__", total).where(F.col("total__") <= TRAIN_BYTES).orderBy("id__").select(F.col("text__").alias("text"), F.col("good__").alias("good"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model | None:

@@ -301,6 +301,14 @@ def test_op7_private_keys_reach_to_their_end(spark):
     assert {(r.doc_id, r.access_id, r.secret_start, r.endpoint) for r in rows} == {(0, "joe", 0, "db.example.com"), (1, "joe", 9, None), (2, None, 0, None), (3, None, 0, None), (4, None, 0, None), (4, "joe", 301, None)}
 
 
+def test_op9_long_texts_do_not_end_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "TRAIN_BYTES", 20_000)
+    docs = frame(spark, ["word " * (5000 if i % 10 == 0 else 20) for i in range(100)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    got = classifier.training_sample(docs, labels).collect()
+    assert len(got) == 90 and {r.good for r in got} == {0, 1}
+
+
 def test_op8_every_template_is_recognised_also_with_a_word_changed():
     scanner, rng = licenses.Scanner(), random.Random(2)
     words = vocabulary(rng)
