@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm.classifier import drop_rejected
-from tagloom.llm.common import cut, table
+from tagloom.llm.common import stored, table
 from tagloom.llm.decontaminate import remove_contaminated
 from tagloom.llm.packing import pack
 from tagloom.llm.pii import redact_pii
@@ -51,5 +51,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -18,20 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder of the cluster and returns it without its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session that names none,
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder below ``spark.checkpoint.dir``; only a session that names none,
     such as a local test, gets one under the warehouse folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get(CHECKPOINT_KEY)
         sc.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder of the cluster and returns it without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet to a fresh folder in the shared one and reads it back."""
+    where = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Identity of a row: rows that repeat both id and text share it, nulls count as values."""
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")), F.lit("|"), F.col(text).isNull(), F.col(text))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tagloom.llm import classifier, components, credentials, decontaminate, divergence, licenses, packing, pii, sharding, simhash, suffixes
 from tagloom.llm.oracles import decontamination as decontamination_sql
 from tagloom.llm.oracles import divergence as divergence_sql
@@ -309,6 +310,15 @@ def test_op9_long_texts_do_not_end_the_training_sample(spark, monkeypatch):
     assert len(got) == 90 and {r.good for r in got} == {0, 1}
 
 
+def test_pipeline_reads_each_stage_from_parquet(spark, monkeypatch):
+    seen = []
+    stage = lambda s, docs, d: seen.append(docs.inputFiles()) or docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), stage) for k in range(3)])
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(x and all(f.endswith(".parquet") for f in x) for x in seen) and len({frozenset(x) for x in seen}) == 3
+
+
 def test_op8_every_template_is_recognised_also_with_a_word_changed():
     scanner, rng = licenses.Scanner(), random.Random(2)
     words = vocabulary(rng)
