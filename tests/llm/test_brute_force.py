@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -158,6 +159,47 @@ def test_op4_finds_planted_values_and_nothing_else(spark):
     assert {tuple(r) for r in pii.find_pii(frame(spark, texts)).collect()} == truth
 
 
+def test_op4_against_every_token(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("0123456789.") if rng.random() < 0.3 else rng.choice("2345") for _ in range(rng.choice([7, 9, 13, 15, 16, 19, 22]))) for _ in range(30)) for _ in range(60)]
+    texts += [" ".join(".".join(str(rng.randint(0, 300)) for _ in range(rng.choice([3, 4, 4, 4, 5]))) + rng.choice(["", ".", ","]) for _ in range(30)) for _ in range(60)]
+
+    def kind(token):
+        octets = token.split(".")
+        if len(octets) == 4 and all(re.fullmatch(r"0|[1-9]\d{0,2}", x) and int(x) < 256 for x in octets) and octets[0] not in ("0", "127"):
+            return "ip"
+        if re.fullmatch(r"[2-6]\d{12,18}", token):
+            doubled = [int(c) * (1 + i % 2) for i, c in enumerate(token[::-1])]
+            return "card" if sum(d // 10 + d % 10 for d in doubled) % 10 == 0 else None
+        return None
+
+    truth = {(d, kind(w), w) for d, t in enumerate(texts) for w in re.findall(r"[0-9.]+", t) for w in [w.strip(".")] if kind(w)}
+    got = {(r.doc_id, r.kind, r.value) for r in pii.find_pii(frame(spark, texts)).collect() if r.kind in ("ip", "card")}
+    assert got == truth and len(got) > 100
+
+
+def test_op4_secrets_addresses_of_groups_and_check_digits():
+    anchors = pii.automaton()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, anchors)]
+    assert found('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", my password: hunter22') == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("secret", "hunter22")]
+    assert found("access_token=abcdefgh; broken = abcdefgh token of thanks") == [("secret", "abcdefgh")]
+    assert found("fe80::1ff:fe23:4567:890a, 2001:db8::1. 12:30:45 std::vector a::b ::1") == [("ip", "fe80::1ff:fe23:4567:890a"), ("ip", "2001:db8::1")]
+    assert found("4917085256960696 4917085256960697") == [("card", "4917085256960696")]
+    assert found("GB82WEST12345698765432 GB82WEST12345698765433") == [("iban", "GB82WEST12345698765432")]
+
+
+@pytest.mark.parametrize("unit", ["http://", "http://x@", "http://a?user=", "1.1.", "1", "12 ", "a@", "token=", "::", "12:", "ab12:", "account ", ".", "+1 (", "DE89 ", "4917 ", "@a.b"])
+def test_op4_takes_time_in_proportion_to_the_text(unit):
+    anchors = pii.automaton()
+    seconds = []
+    for n in (100_000, 400_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        pii.find(text, anchors)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * seconds[0] + 0.3 and seconds[1] < 15
+
+
 def near_copies(rng, n):
     words = vocabulary(rng, 5000)
     texts, of = [], []
