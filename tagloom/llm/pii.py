@@ -49,6 +49,7 @@ _URL_END = re.compile(r"[\s<>\"'`{}|\\^]")
 _CARD = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}")
 _PHONE = re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}")
 _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
+_MORE = re.compile(r"\w|\.\d")
 _IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
 _ACCOUNT = re.compile(r"(?:\s{1,9}(?:no|number|nr|num)\b\.?)?[\s:#=.-]{1,4}(\d(?:[ -]?\d){5,18})(?!\w)")
 _SECRET = re.compile(r"[\"']?\s{0,9}[=:]\s{0,9}[\"']?([^\s\"',;<>]{6,})")
@@ -199,9 +200,9 @@ def number_in(text: str, a: int, b: int, groups: Groups) -> tuple[str, int, int]
         if stop <= m.end() and mod97(text[c:stop]) and not _word(text, stop):
             return "iban", c, stop
     if not _word(text, a - 1):
-        if (m := _CARD.match(text, a)) and not _word(text, m.end()) and text[a] in "23456" and luhn(m.group()):
+        if (m := _CARD.match(text, a)) and not _MORE.match(text, m.end()) and text[a] in "23456" and luhn(m.group()):
             return "card", a, m.end()
-        if (m := _SSN.match(text, a)) and not _word(text, m.end()) and text[a - 1 : a] not in ("-", "."):
+        if (m := _SSN.match(text, a)) and not _MORE.match(text, m.end()) and text[a - 1 : a] not in ("-", "."):
             return "ssn", a, m.end()
     starts: list[int] = []
     before = text[max(0, a - 7) : a]
