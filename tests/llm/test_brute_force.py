@@ -286,6 +286,35 @@ def test_op6_is_a_uniform_permutation_that_depends_on_the_seed_alone(spark):
     assert len(counts) == 6 and min(counts.values()) > 400
 
 
+def test_op6_scatters_equal_rows_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 37)
+    rows = [(i, "same", {"a": i}, float(i)) for i in range(500)] + [(1, "equal", {"b": 1}, None)] * 500 + [(None, None, None, None)] * 40
+    runs = []
+    for p in (3, 7):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string, int>, x double").repartition(p)
+        runs.append(sorted(map(repr, sharding.shuffled(df, buckets=8).collect())))
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    got = sharding.shuffled(spark.createDataFrame(rows, "doc_id bigint, text string, m map<string, int>, x double"), buckets=8).collect()
+    for of in ("same", "equal"):
+        per = Counter(r.shard for r in got if r.text == of)
+        assert set(per) == set(range(8)) and max(per.values()) < 110
+    per = Counter(r.shard for r in got)
+    assert all(sorted(r.position for r in got if r.shard == k) == list(range(n)) for k, n in per.items())
+
+
+def test_op6_against_a_plain_version(spark):
+    texts = [f"text {i % 70}" for i in range(200)]
+    got = {(r.shard, r.position): (r.doc_id, r.text) for r in sharding.shuffled(frame(spark, texts), seed=5, buckets=3).collect()}
+    hashed = frame(spark, texts).selectExpr("doc_id", "text", *(f"xxhash64({k}, doc_id is null, doc_id, text is null, text, lang is null, lang) as k{k}" for k in (1, 2)))
+    rows = hashed.selectExpr("*", "pmod(xxhash64(5, k1, k2, 0L), 3) as b").collect()
+    for b in range(3):
+        own = [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.k1, r.k2)) if r.b == b]
+        draw = np.random.default_rng([5, b]).integers(0, np.arange(len(own), 1, -1)).tolist()
+        for i, j in zip(range(len(own) - 1, 0, -1), draw):
+            own[i], own[j] = own[j], own[i]
+        assert [got[b, k] for k in range(len(own))] == own
+
+
 def test_op6_writes_a_file_per_shard(spark, tmp_path):
     sharding.write_shards(frame(spark, [f"t {i}" for i in range(100)]), str(tmp_path / "x"), buckets=4)
     assert len(list((tmp_path / "x").glob("*.parquet"))) == 4
