@@ -3,7 +3,7 @@
 Documents, measured in whitespace-separated words, fill bins of ``capacity`` words. A
 longer document is cut into full pieces, each a bin of its own, and a remainder. Then,
 in rounds, all unplaced pieces and all gaps are range-sorted by size, pieces before gaps
-of the same size. A successor sweep gives each gap the largest piece before it that no
+of the same size, equal ones by a hash, so that no size is bound to one partition. A successor sweep gives each gap the largest piece before it that no
 smaller gap took; of pieces that want one gap the highest in rank gets it and the others
 move on to the next gap. Partitions sweep on their own: what is left there is a run of
 gaps below a run of pieces, so their counts alone, two numbers a partition, decide on
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, parts_for, row_key
 
 CAPACITY = 2048
+#: Pieces that one partition sweeps.
+SWEEP_ROWS = 100_000
 
 
 def sweep(size: np.ndarray, is_gap: np.ndarray, ident: np.ndarray) -> tuple[list, list, list]:
@@ -86,7 +88,8 @@ def _round(items: DataFrame, bins: DataFrame, largest: int, parts: int) -> DataF
     slots = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("gap") / largest))
     offered = bins.select(F.floor(F.col("gap") / slots).alias("size"), F.explode(F.sequence(F.lit(1).cast("bigint"), slots)).alias("slot"), "bin").select("size", F.lit(1).alias("is_gap"), F.col("bin").alias("ident"))
     both = items.select("size", F.lit(0).alias("is_gap"), F.col("item").alias("ident")).unionByName(offered)
-    swept = both.repartitionByRange(parts, "size") if parts > 1 else both.coalesce(1)
+    # sizes are few, so ranges are of the whole order: equal sizes go to as many partitions as they fill
+    swept = both.repartitionByRange(parts, "size", "is_gap", "ident") if parts > 1 else both.coalesce(1)
     swept = cut(swept.mapInArrow(_sweep_partition, "kind bigint, part bigint, rank bigint, item bigint, size bigint, bin bigint"))
     placed = swept.where("kind = 2").select("item", "size", "bin")
     if parts > 1:
@@ -109,7 +112,7 @@ def best_fit(items: DataFrame, capacity: int, partitions: int | None = None) ->
     n, total, least, largest = items.agg(*state).first()
     done, bins, opened, stuck = [], None, 0, False
     while n:
-        parts = partitions or parts_for(n, 48)
+        parts = partitions or -(-n // SWEEP_ROWS)
         room = bins.where(F.col("gap") >= least).agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0] if bins is not None else 0
         if stuck or total > room:
             fresh = -(-(total if stuck else total - room) // capacity)

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagloom.llm import classifier, components, credentials, decontaminate, divergence, licenses, packing, pii, sharding, simhash, suffixes
@@ -469,6 +470,20 @@ def test_op10_partitions_decide_what_one_sweep_decides():
         assert sorted(pairs) == sorted(whole) and all(size[a] <= size[b] for a, b in pairs)
 
 
+def test_op10_spreads_equal_sizes_over_partitions(spark):
+    items = spark.range(3000).selectExpr("id as item", "if(id % 10 = 0, id % 50 + 1, 40L) as size")
+    both = items.selectExpr("size", "0 as is_gap", "item as ident").repartitionByRange(4, "size", "is_gap", "ident")
+    per = both.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per) == 4 and max(r["count"] for r in per) < 1500
+    sizes = {r.item: r.size for r in items.collect()}
+    used = Counter()
+    for r in packing.best_fit(items, 100, 4).collect():
+        used[r.bin] += sizes.pop(r.item)
+    assert not sizes and max(used.values()) <= 100
+    total = sum(used.values())
+    assert len(used) <= 1.35 * total / 100
+
+
 @pytest.mark.parametrize("parts", [None, 4])
 def test_op10_packs_all_words_about_as_tightly_as_sequential_best_fit(spark, parts):
     rng = random.Random(6)
