@@ -323,11 +323,15 @@ def test_op6_writes_a_file_per_shard(spark, tmp_path):
 
 
 def link_slowly(texts, scope):
-    compiled = [(r, s, re.compile(p)) for r, s, p in credentials.PATTERNS]
+    """All pairs of all parts; of overlapping matches the strong, then the first pattern's, then the first stands."""
     out = set()
     gap = lambda a, b: max(a[2] - b[3], b[2] - a[3], 0)
     for d, t in enumerate(texts):
-        parts = credentials.parts_of(t, compiled)
+        found = sorted((not strong, n, m.start(1), m.end(1), role) for n, (role, strong, p, _) in enumerate(credentials.PATTERNS) for m in re.compile(p).finditer(t))
+        parts: list = []
+        for weak, _, a, b, role in found:
+            if all(b <= x[2] or a >= x[3] for x in parts):
+                parts.append((role, not weak, a, b))
         ids, secrets, ends = ([p for p in parts if p[0] == r] for r in ("id", "secret", "endpoint"))
         cores = [(i, s) for i in ids for s in secrets if gap(i, s) <= scope]
         cores += [(None, s) for s in secrets if not any(c[1] == s for c in cores)] + [(i, None) for i in ids if i[1] and not any(c[0] == i for c in cores)]
@@ -339,6 +343,23 @@ def link_slowly(texts, scope):
     return out
 
 
+def test_op7_parts_of_any_length_are_read_to_their_end(spark):
+    texts = ["a" * 1580 + ".b@mail.example.com" + " " * 10 + "password=hunter22", "user=joe token=" + "x" * 3000 + " " * 390 + "host=db.example.com", "user=joe" + " " * 401 + "token=abcdefgh"]
+    got = {(r.doc_id, r.id_start, r.secret_start, r.endpoint_start) for r in credentials.credentials(frame(spark, texts)).collect()}
+    assert got == {(0, 0, 1618, None), (1, 5, 15, 3410)} and link_slowly(texts, credentials.SCOPE) == {(*g, False) for g in got}
+
+
+@pytest.mark.parametrize("unit", ["http://", "://a:b@", "user=", "password=", "a@b.", "1.1.", "-----BEGIN PRIVATE KEY-----", "token=abcdef user=joe ", "user ", "AKIA", "host: "])
+def test_op7_takes_time_in_proportion_to_the_text(unit):
+    compiled, seconds = credentials.compiled_patterns(), []
+    for n in (50_000, 200_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        credentials.links(credentials.parts_of(text, compiled), credentials.SCOPE)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * seconds[0] + 0.5 and seconds[1] < 15
+
+
 def test_op7_interval_join_against_all_pairs(spark):
     rng = random.Random(11)
     words = vocabulary(rng)
