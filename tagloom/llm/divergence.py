@@ -1,21 +1,23 @@
 """Quality rules by distribution divergence.
 
 Two histograms of a document are compared with references of its language by
-Jensen-Shannon divergence, to base 2 (0: equal, 1: disjoint): that of character classes,
+Jensen-Shannon distance, to base 2 (0: equal, 1: disjoint): that of character classes,
 and that of the language's ``COMMON`` most frequent words plus all others together. The
-references are the counts of the whole corpus, per language. A document is kept if
-neither divergence exceeds its limit, or if it is too short to be judged: below
+references are the counts of the whole corpus, per language, whatever the language's size;
+a document counts in the reference that it is compared with. A document is kept if
+neither distance exceeds its limit, or if it is too short to be judged: below
 ``MIN_CHARS`` characters or ``MIN_WORDS`` words the histograms say nothing.
 
-Defined cases: null and empty texts are short, so they stay, with null divergences;
-null languages are one language of their own; a document of a language with fewer than
-``MIN_REFERENCE`` words altogether isn't judged; ties among common words go to the
+Defined cases: null and empty texts are short, so they stay, with null distances;
+null languages are one language of their own; ties among common words go to the
 smaller word; repeated rows count and are judged separately; empty tables give empty
 results; other columns are untouched whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,13 +26,16 @@ from pyspark.sql import functions as F
 from .common import cut, sized
 from .words import Words, buffer_of, slices
 
-COMMON, MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 40, 200, 30, 1000
-CHAR_LIMIT, WORD_LIMIT = 0.06, 0.2
+COMMON, MIN_CHARS, MIN_WORDS = 40, 200, 30
+CHAR_LIMIT, WORD_LIMIT = 0.245, 0.447
+#: Different words that a task counts before it sends them on.
+TASK_WORDS = 500_000
+#: Marks a class among words; no word begins with it.
+_CLASS = "\0"
 #: Languages, about a kilobyte each, whose references are sent to every executor.
 MAX_SENT = 50_000
 CLASSES = ("lower", "upper", "digit", "space", "newline", "punctuation", "beyond_ascii", "other")
 PUNCTUATION = ".,;:'\"?()-"
-_SPLIT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def class_counts(column: pa.Array) -> np.ndarray:
@@ -45,46 +50,73 @@ def class_counts(column: pa.Array) -> np.ndarray:
     return np.bincount(row + kind[raw], minlength=9 * (len(off) - 1)).reshape(-1, 9)[:, :8]
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence of the rows of counts p from the counts q, to base 2."""
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of the rows of counts p from the counts q, to base 2: the root of the divergence."""
     p = p / np.maximum(p.sum(axis=1, keepdims=True), 1)
     q = q / max(q.sum(), 1)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         a = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
         b = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
-    return np.clip((a + b) / 2, 0, 1)
+    return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
 def _lang() -> F.Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
-def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
-    """ref_lang, classes, words, counts, total: one row per language, from all documents."""
-    rows = docs.select(_lang().alias("ref_lang"), F.col("text").cast("string").alias("text"))
+def _counts(batches):
+    """Words and classes of each language with their counts, summed in the task as far as memory allows."""
+    sums: dict[tuple[str, int], int] = defaultdict(int)
+    names: dict[int, bytes] = {}
+    classes: dict[str, np.ndarray] = {}
+
+    def emit():
+        rows = [(lang, names[h].decode("utf-8", "replace"), n) for (lang, h), n in sums.items()]
+        rows += [(lang, _CLASS + str(k), int(n)) for lang, c in classes.items() for k, n in enumerate(c)]
+        sums.clear(), names.clear(), classes.clear()
+        for at in range(0, len(rows), 100_000):
+            lang, word, n = zip(*rows[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], ["ref_lang", "word", "n"])
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words = Words(part.column(1))
+            raw, _ = buffer_of(words.lowered)
+            code = part.column(0).dictionary_encode()
+            of = code.indices.to_numpy(zero_copy_only=False)
+            each = class_counts(part.column(1))
+            for k, lang in enumerate(code.dictionary.to_pylist()):
+                own = of == k
+                classes[lang] = classes.get(lang, 0) + each[own].sum(axis=0)
+                at = np.flatnonzero(own[words.doc])
+                h, first, n = np.unique(words.hash[at], return_index=True, return_counts=True)
+                begin, end = words.start[at[first]].tolist(), words.end[at[first]].tolist()
+                for x, a, b, c in zip(h.tolist(), begin, end, n.tolist()):
+                    sums[lang, x] += c
+                    if x not in names:
+                        names[x] = raw[a:b].tobytes()
+            if len(sums) > TASK_WORDS:
+                yield from emit()
+    yield from emit()
 
-    def classes(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                code = part.column(0).dictionary_encode()
-                at = code.indices.to_numpy(zero_copy_only=False)
-                sums = np.zeros((len(code.dictionary), 8), np.int64)
-                np.add.at(sums, at, class_counts(part.column(1)))
-                yield pa.RecordBatch.from_arrays([code.dictionary, *(pa.array(sums[:, k]) for k in range(8))], ["ref_lang", *(f"c{k}" for k in range(8))])
 
-    chars = rows.mapInArrow(classes, "ref_lang string, " + ", ".join(f"c{k} bigint" for k in range(8)))
-    chars = chars.groupBy("ref_lang").agg(F.array(*(F.sum(f"c{k}") for k in range(8))).alias("classes"))
-    word = rows.select("ref_lang", F.explode(F.split(F.lower("text"), _SPLIT)).alias("word")).where("word <> ''").groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
+def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """ref_lang, classes, words, counts, total: one row per language, from one reading of all documents."""
+    rows = docs.select(_lang().alias("ref_lang"), F.col("text").cast("string").alias("text"))
+    # the word counts are read twice below; they are a few rows a word of the vocabulary
+    counts = cut(rows.mapInArrow(_counts, "ref_lang string, word string, n bigint").groupBy("ref_lang", "word").agg(F.sum("n").alias("n")))
+    is_class = F.col("word").startswith(_CLASS)
+    nth = lambda k: F.sum(F.when(F.col("word") == _CLASS + str(k), F.col("n")).otherwise(0))
+    both = counts.groupBy("ref_lang").agg(F.array(*(nth(k) for k in range(8))).alias("classes"), F.sum(F.when(is_class, 0).otherwise(F.col("n"))).alias("total"))
     w = Window.partitionBy("ref_lang").orderBy(F.desc("n"), "word")
-    total = word.groupBy("ref_lang").agg(F.sum("n").alias("total"))
-    best = word.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= common).groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
+    best = counts.where(~is_class).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= common).groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     best = best.select("ref_lang", F.col("top.word").alias("words"), F.col("top.n").alias("counts"))
-    return chars.join(best, "ref_lang", "left").join(total, "ref_lang", "left")
+    return both.join(best, "ref_lang", "left")
 
 
 def judged(docs: DataFrame, common: int = COMMON) -> DataFrame:
-    """doc_id, lang, char_divergence, word_divergence; null where the document isn't judged."""
+    """doc_id, lang, char_distance, word_distance; null where the document isn't judged."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _lang().alias("ref_lang"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # one row a language: counted, and sent around if they are few, since a join by shuffle would gather each language's texts
     both = rows.join(sized(cut(references(docs, common)), MAX_SENT), "ref_lang", "left").select("doc_id", "lang", "text", "ref_lang", "classes", "words", "counts", "total")
@@ -103,7 +135,7 @@ def judged(docs: DataFrame, common: int = COMMON) -> DataFrame:
                     own = np.flatnonzero(at == lang)
                     i = int(own[0])
                     top, counts, total = part.column(5)[i].as_py(), part.column(6)[i].as_py(), part.column(7)[i].as_py()
-                    if not top or total < MIN_REFERENCE:
+                    if not top:
                         continue
                     ref = Words(pa.array(top)).hash
                     order = np.argsort(ref)
@@ -111,15 +143,15 @@ def judged(docs: DataFrame, common: int = COMMON) -> DataFrame:
                     column = np.where(ref[order][k] == words.hash, k, len(ref))
                     hist = np.bincount(words.doc * (len(ref) + 1) + column, minlength=n * (len(ref) + 1)).reshape(n, -1)[own]
                     base = np.append(np.array(counts)[order], total - sum(counts))
-                    out[0, own] = divergence(classes[own].astype(float), np.array(part.column(4)[i].as_py(), float))
-                    out[1, own] = divergence(hist.astype(float), base.astype(float))
+                    out[0, own] = distance(classes[own].astype(float), np.array(part.column(4)[i].as_py(), float))
+                    out[1, own] = distance(hist.astype(float), base.astype(float))
                 out[:, (classes.sum(axis=1) < MIN_CHARS) | (size < MIN_WORDS)] = np.nan
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, mask=np.isnan(x)) for x in out)], ["doc_id", "lang", "char_divergence", "word_divergence"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, mask=np.isnan(x)) for x in out)], ["doc_id", "lang", "char_distance", "word_distance"])
 
-    return both.mapInArrow(run, "doc_id bigint, lang string, char_divergence double, word_divergence double")
+    return both.mapInArrow(run, "doc_id bigint, lang string, char_distance double, word_distance double")
 
 
 def kept(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, common: int = COMMON) -> DataFrame:
-    """doc_id, lang and divergences, to six places, of the documents that the rules keep."""
-    ok = F.col("char_divergence").isNull() | ((F.col("char_divergence") <= char_limit) & (F.col("word_divergence") <= word_limit))
-    return judged(docs, common).where(ok).select("doc_id", "lang", *(F.round(c, 6).alias(c) for c in ("char_divergence", "word_divergence")))
+    """doc_id, lang and distances, to six places, of the documents that the rules keep."""
+    ok = F.col("char_distance").isNull() | ((F.col("char_distance") <= char_limit) & (F.col("word_distance") <= word_limit))
+    return judged(docs, common).where(ok).select("doc_id", "lang", *(F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")))

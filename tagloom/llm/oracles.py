@@ -1,7 +1,7 @@
 """SQL for the operators that SQL can express."""
 
 from .decontaminate import SHINGLE, THRESHOLD
-from .divergence import CHAR_LIMIT, COMMON, MIN_CHARS, MIN_REFERENCE, MIN_WORDS, WORD_LIMIT
+from .divergence import CHAR_LIMIT, COMMON, MIN_CHARS, MIN_WORDS, WORD_LIMIT
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
@@ -21,7 +21,7 @@ def decontamination() -> str:
 
 
 def divergence() -> str:
-    """Histograms of classes and common words, per document and language, and their divergence."""
+    """Histograms of classes and common words, per document and language, and their distance."""
     classes = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "space": r"[^ \t\r]", "newline": r"[^\n]", "punctuation": r"""[^.,;:''"?()\-]""", "beyond": r"[\x00-\x7F]"}
     counts = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g')) as {n}" for n, p in classes.items())
     sums = ", ".join(f"sum({n}) as {n}" for n in [*classes, "other"])
@@ -32,16 +32,16 @@ def divergence() -> str:
     c as (select *, n - lower - upper - digit - space - newline - punctuation - beyond as other from c0),
     cd as (unpivot (select doc_id, l, n, lower, upper, digit, space, newline, punctuation, beyond, other from c) on lower, upper, digit, space, newline, punctuation, beyond, other into name kind value x),
     cr as (unpivot (select l, sum(n) as n, {sums} from c group by l) on lower, upper, digit, space, newline, punctuation, beyond, other into name kind value x),
-    jc as (select doc_id, least(1, greatest(0, {js})) as j from (select cd.doc_id, cd.x / greatest(cd.n, 1) as p, cr.x / greatest(cr.n, 1) as q from cd join cr using (l, kind)) group by doc_id),
+    jc as (select doc_id, sqrt(least(1, greatest(0, {js}))) as j from (select cd.doc_id, cd.x / greatest(cd.n, 1) as p, cr.x / greatest(cr.n, 1) as q from cd join cr using (l, kind)) group by doc_id),
     e as (select doc_id, l, unnest(w) as word from t),
     wl as (select l, word, count(*) as n, row_number() over (partition by l order by count(*) desc, word) as r from e group by l, word),
     tl as (select l, sum(n) as total from wl group by l),
     top as (select l, word, n from wl where r <= {COMMON}),
     ref as (select l, word, n / total as q from top join tl using (l) union all select l, null, (total - s) / total from (select l, sum(n) as s from top group by l) join tl using (l)),
     ed as (select e.doc_id, e.l, top.word as word, count(*) as x from e left join top on top.l = e.l and top.word = e.word group by all),
-    jw as (select doc_id, least(1, greatest(0, {js})) as j from
+    jw as (select doc_id, sqrt(least(1, greatest(0, {js}))) as j from
         (select t.doc_id, coalesce(ed.x, 0) / greatest(len(t.w), 1) as p, ref.q as q from t join ref using (l) left join ed on ed.doc_id = t.doc_id and ed.word is not distinct from ref.word) group by doc_id),
-    r as (select t.doc_id, t.lang, case when length(t) >= {MIN_CHARS} and len(w) >= {MIN_WORDS} and total >= {MIN_REFERENCE} then jc.j end as a,
-        case when length(t) >= {MIN_CHARS} and len(w) >= {MIN_WORDS} and total >= {MIN_REFERENCE} then jw.j end as b
+    r as (select t.doc_id, t.lang, case when length(t) >= {MIN_CHARS} and len(w) >= {MIN_WORDS} then jc.j end as a,
+        case when length(t) >= {MIN_CHARS} and len(w) >= {MIN_WORDS} then jw.j end as b
         from t left join tl using (l) left join jc using (doc_id) left join jw using (doc_id))
-    select doc_id, lang, round(a, 6) as char_divergence, round(b, 6) as word_divergence from r where a is null or a <= {CHAR_LIMIT} and b <= {WORD_LIMIT}"""
+    select doc_id, lang, round(a, 6) as char_distance, round(b, 6) as word_distance from r where a is null or a <= {CHAR_LIMIT} and b <= {WORD_LIMIT}"""

@@ -87,7 +87,7 @@ def test_op3_keeps_what_is_too_short(results):
 
 
 def test_op4_and_op7_and_op8(results):
-    assert sorted((r[0], r[1], r[4]) for r in results["op4"]) == [(8, "email", "joe.doe@mail.example.com"), (8, "ip", "10.2.3.4")]
+    assert sorted((r[0], r[1], r[4]) for r in results["op4"]) == [(8, "email", "joe.doe@mail.example.com"), (8, "ip", "10.2.3.4"), (10, "secret", "hunter22")]
     assert [(r[0], r[1], r[2], r[4], r[6]) for r in results["op7"]] == [(10, "linked", "joe", "hunt****", "db.example.com")]
     assert [(r[0], r[1], r[2], r[3]) for r in results["op8"]] == [(9, "MIT", 0, 30)]
 
@@ -136,8 +136,8 @@ def test_stages_keep_columns_and_repeated_rows_count(spark, docs, none, sf_dir):
 def test_redaction_takes_effect_and_counts(spark, docs):
     r = pii.redact_pii(docs).where("doc_id = 8").first()
     assert r.text.startswith("mail <EMAIL> or <IP> ") and r.n_chars == len(r.text)
-    same = pii.redact_pii(docs).where("doc_id is null or doc_id <> 8")
-    assert sorted(map(repr, same.collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id <> 8").collect()))
+    same = pii.redact_pii(docs).where("doc_id is null or doc_id not in (8, 10)")
+    assert sorted(map(repr, same.collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id not in (8, 10)").collect()))
 
 
 def test_run_applies_all_stages(spark, sf_dir):
