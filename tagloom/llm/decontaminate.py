@@ -1,19 +1,22 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-An item is *contained* in a document if the document holds at least ``threshold`` of
-the item's distinct shingles (runs of ``shingle`` words; an item with fewer words is
-one shingle of all its words). Jaccard-based MinHash can't see forty words inside
-twenty thousand, so documents are partitioned by size: one with up to 2**p shingles
-gets a one-permutation MinHash signature of 2**p bins (eight times that for items so
-small that three shared shingles suffice). At that density a shingle that is shared
-is the minimum of its bin with probability 0.63 or more (0.94), whatever the length of
-the document, so an item with s shared shingles is missed with probability below 0.37**s.
-Every bin minimum that is a shingle of some item makes a candidate; each candidate is
-then decided by exact containment of its shingles, compared as text.
-
-Defined cases: null or wordless texts and items match nothing; repeated rows give one
-result row per distinct id pair (the largest containment); null ids are kept as null;
-other columns, whatever their names, are ignored; an empty table gives an empty result.
+An item is *contained* in a document if the document holds at least ``threshold`` of the
+item's distinct shingles (runs of ``shingle`` words). Jaccard-based MinHash can't see forty
+words inside twenty thousand, so both sides are partitioned by size. A document with n
+shingles gets one-permutation MinHash signatures whose number of bins is a multiple of n;
+which multiple depends on the class of items, those that need few shared shingles getting
+denser signatures. A shared shingle is the minimum of its bin with a probability that
+depends on the multiple alone, not on the length of the document, so an item that shares
+what it needs is missed with a probability below ``MISS`` in every class: items that need
+one or two shingles are looked up by all of them. Every bin minimum that is a shingle of
+some item of the class makes a candidate; only candidates are then decided by exact
+containment of their shingles, compared as text.
+
+Defined cases: null texts and items, and items of fewer than ``MIN_ITEM_WORDS`` words, match
+nothing, since a word or two are in any text; an item of fewer words than a shingle is one
+shingle of all its words; repeated rows give one result row per distinct id pair (the
+largest containment); null ids are kept as null; other columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,26 +37,37 @@ from .words import Words, mix, shingle_hashes, signed, slices
 SHINGLE, THRESHOLD = 5, 0.5
 #: Items whose texts have at most so many bytes are sent to every executor; more are joined by shuffle.
 ITEM_BYTES = 16_000_000
-SMALL_NEED, SMALL_FACTOR = 3, 8
+#: Items of fewer words say nothing.
+MIN_ITEM_WORDS = 3
+#: Classes of items: the fewest shared shingles that an item needs, and the bins of a document per shingle; 0: all shingles.
+CLASSES = ((1, 0.0), (3, 8.0), (9, 1.0), (33, 0.25))
+MISS = 3e-4
 _WORD = r"[0-9a-z\u0080-\U0010ffff]+"
 _PAIRS = "doc_id bigint, item_id bigint, containment double"
 
 
 def text_shingles(text: str | None, k: int) -> set[tuple[str, ...]]:
-    """The distinct shingles of a text; a text of fewer than k words is one shingle."""
+    """The distinct shingles of an item; one of fewer than k words is one shingle, one of too few has none."""
     words = re.findall(_WORD, pa.compute.utf8_lower(pa.scalar(text or "")).as_py())
     k = min(k, len(words))
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= MIN_ITEM_WORDS else set()
 
 
 def need_of(q: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * q - 1e-9))
 
 
-def signature(h: np.ndarray, doc: np.ndarray, n_docs: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin minima of each document's shingles, as (document, hash); bins by the document's size."""
+def class_of(need: np.ndarray) -> np.ndarray:
+    """The class of items by the shared shingles that they need."""
+    return np.searchsorted([c for c, _ in CLASSES], need, side="right") - 1
+
+
+def signature(h: np.ndarray, doc: np.ndarray, n_docs: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bin minima of each document's shingles, as (document, hash); bins by the document's size; all shingles without a factor."""
+    if not factor:
+        return doc, h
     count = np.bincount(doc, minlength=n_docs)
-    bins = factor * (1 << np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64))
+    bins = np.maximum(1, factor * (1 << np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64))).astype(np.int64)
     bins[count == 0] = 0
     base = np.concatenate([[0], np.cumsum(bins)])
     low = np.full(base[-1], np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -74,10 +88,10 @@ class ItemIndex:
         sizes = np.diff(words.first)
         self.need = np.array([need_of(len(s), threshold) if s else 1 << 30 for s in self.shingles], dtype=np.int64)
         self.by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for kk in sorted({min(k, int(n)) for n in sizes if n}):
+        for kk in sorted({min(k, int(n)) for n in sizes if n >= MIN_ITEM_WORDS}):
             h, at = shingle_hashes(words.hash, words.doc, kk)
             item = words.doc[at]
-            own = np.minimum(sizes[item], k) == kk
+            own = (np.minimum(sizes[item], k) == kk) & (sizes[item] >= MIN_ITEM_WORDS)
             pairs = np.unique(np.stack([h[own], item[own].astype(np.uint64)]), axis=1)
             hashes, first = np.unique(pairs[0], return_index=True)
             self.by_k[kk] = (hashes, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64))
@@ -103,29 +117,27 @@ class ItemIndex:
         return bits
 
     def search(self, words: Words, blooms: dict[int, np.ndarray]) -> list[tuple[int, int]]:
-        """Candidate (document, item) pairs of a slice, from bin minima, that the hashes of all shingles confirm."""
-        out = []
+        """Candidate (document, item) pairs of a slice, from bin minima, that the shingles of the candidate documents don't refute."""
+        out: list[tuple[int, int]] = []
+        kind, n_items = class_of(self.need), len(self.ids)
         for kk in self.by_k:
             h, at = shingle_hashes(words.hash, words.doc, kk)
             doc = words.doc[at]
             found = []
-            for factor, small in ((1, False), (SMALL_FACTOR, True)):
-                wanted = (self.need <= SMALL_NEED) if small else (self.need > SMALL_NEED)
-                if not wanted[self.by_k[kk][2]].any():
-                    continue
-                d, low = signature(h, doc, words.n_docs, factor)
+            for c in np.unique(kind[self.by_k[kk][2]]).tolist():
+                d, low = signature(h, doc, words.n_docs, CLASSES[c][1])
                 v, item = self.lookup(kk, low, blooms[kk])
-                ok = wanted[item]
-                found.append(np.stack([d[v[ok]], item[ok]]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            if not pairs.shape[1]:
-                continue
-            v, item = self.lookup(kk, h, blooms[kk])
-            n_items = len(self.ids)
-            key = np.unique(np.stack([doc[v] * n_items + item, signed(h[v])]), axis=1)[0]
-            pair, n = np.unique(key, return_counts=True)
-            shared = dict(zip(pair.tolist(), n.tolist()))
-            out += [(d, i) for d, i in pairs.T.tolist() if shared.get(d * n_items + i, 0) >= self.need[i]]
+                own = kind[item] == c
+                found.append(d[v[own]] * n_items + item[own])
+            pairs = np.unique(np.concatenate(found))
+            some = np.zeros(words.n_docs, dtype=bool)
+            some[pairs // n_items] = True
+            sel = np.flatnonzero(some[doc])
+            v, item = self.lookup(kk, h[sel], blooms[kk])
+            key = doc[sel[v]] * n_items + item
+            shared, n = np.unique(np.unique(np.stack([key, signed(h[sel[v]])]), axis=1)[0], return_counts=True)
+            at_least = shared[n >= self.need[shared % n_items]]
+            out += [(p // n_items, p % n_items) for p in np.intersect1d(pairs, at_least).tolist()]
         return out
 
     def exact(self, text: str, candidates: list[int]) -> list[tuple[int, float]]:
@@ -170,20 +182,21 @@ def _keys(table: DataFrame, k: int, threshold: float, of_items: bool) -> DataFra
             for part in slices(batch, "text"):
                 words = Words(part.column(1))
                 size = np.diff(words.first)
-                for kk in range(1, k + 1):
+                for kk in range(min(k, MIN_ITEM_WORDS), k + 1):
                     h, at = shingle_hashes(words.hash, words.doc, kk)
                     doc = words.doc[at]
+                    sides = []
                     if of_items:
-                        own = np.minimum(size[doc], k) == kk
+                        own = (np.minimum(size[doc], k) == kk) & (size[doc] >= MIN_ITEM_WORDS)
                         d, v = doc[own], h[own]
                         distinct = np.bincount(np.unique(np.stack([d.astype(np.uint64), v]), axis=1)[0].astype(np.int64), minlength=words.n_docs)
-                        small = np.array([need_of(int(x), threshold) <= SMALL_NEED for x in distinct], dtype=bool)[d] if len(d) else np.zeros(0, bool)
-                        sides = ((d, v, small),)
+                        kind = class_of(np.array([need_of(max(int(x), 1), threshold) for x in distinct]))[d] if len(d) else d
+                        sides = [(c, d[kind == c], v[kind == c]) for c in range(len(CLASSES))]
                     else:
-                        sides = ((*signature(h, doc, words.n_docs, f), np.array(f > 1)) for f in (1, SMALL_FACTOR) if kk == k or f > 1)
-                    for d, v, small in sides:
-                        salt = np.where(small, np.uint64(kk * 2 + 1), np.uint64(kk * 2))
-                        key = signed(mix(v ^ salt * np.uint64(0x9E3779B97F4A7C15)))
+                        # an item of fewer words than a shingle needs one, so its class is the first
+                        sides = [(c, *signature(h, doc, words.n_docs, f)) for c, (_, f) in enumerate(CLASSES) if kk == k or c == 0]
+                    for c, d, v in sides:
+                        key = signed(mix(v ^ np.uint64(kk * len(CLASSES) + c) * np.uint64(0x9E3779B97F4A7C15)))
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(key)], ["id", "key"])
 
     return table.mapInArrow(run, "id bigint, key bigint")
@@ -191,8 +204,11 @@ def _keys(table: DataFrame, k: int, threshold: float, of_items: bool) -> DataFra
 
 def _search_joined(docs: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     keys = _keys(docs, k, threshold, False).alias("d").join(_keys(items, k, threshold, True).distinct().alias("i"), "key")
-    pairs = keys.select(F.col("d.id").alias("did"), F.col("i.id").alias("iid")).distinct()
-    both = pairs.join(docs, pairs.did.eqNullSafe(docs.doc_id)).join(items.withColumnRenamed("text", "item_text"), F.col("iid").eqNullSafe(F.col("item_id")))
+    pairs = cut(keys.select(F.col("d.id").alias("did"), F.col("i.id").alias("iid")).distinct())
+    # only texts of candidates travel: where these are few, their ids are sent to the texts
+    few = sized(pairs.select(F.col("did").alias("some")).distinct())
+    texts = docs.join(few, F.col("doc_id").eqNullSafe(F.col("some")), "left_semi")
+    both = pairs.join(texts, pairs.did.eqNullSafe(texts.doc_id)).join(items.withColumnRenamed("text", "item_text"), F.col("iid").eqNullSafe(F.col("item_id")))
 
     def run(batches):
         for batch in batches:
@@ -214,7 +230,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE
 
     The size of the items is checked first: up to ``item_bytes`` of text they go to the
     executors once and documents are read, not shuffled; beyond, signatures of both
-    sides are joined on their keys and only candidate pairs fetch texts.
+    sides are joined on their keys and only candidate pairs fetch texts. Candidates are the
+    same either way.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
     items = items.select(F.col("item_id").cast("bigint"), F.col("text")).distinct()

@@ -1,6 +1,6 @@
 """SQL for the operators that SQL can express."""
 
-from .decontaminate import SHINGLE, THRESHOLD
+from .decontaminate import MIN_ITEM_WORDS, SHINGLE, THRESHOLD
 from .divergence import CHAR_LIMIT, COMMON, MIN_CHARS, MIN_WORDS, WORD_LIMIT
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -12,7 +12,7 @@ def decontamination() -> str:
     return f"""
     with dw as (select doc_id, {_WORDS} as w from documents),
     iw as (select item_id, {_WORDS} as w from benchmark),
-    i as (select distinct item_id, least({k}, len(w)) as k, unnest(list_transform(range(len(w) - least({k}, len(w)) + 1), lambda j: array_to_string(w[j + 1 : j + least({k}, len(w))], ' '))) as s from iw where len(w) > 0),
+    i as (select distinct item_id, least({k}, len(w)) as k, unnest(list_transform(range(len(w) - least({k}, len(w)) + 1), lambda j: array_to_string(w[j + 1 : j + least({k}, len(w))], ' '))) as s from iw where len(w) >= {MIN_ITEM_WORDS}),
     ks as (select distinct k from i),
     d as (select distinct doc_id, k, unnest(list_transform(range(len(w) - k + 1), lambda j: array_to_string(w[j + 1 : j + k], ' '))) as s from dw, ks where len(w) >= k),
     n as (select item_id, count(*) as n from i group by 1),
