@@ -2,6 +2,7 @@
 
 from .decontaminate import MIN_ITEM_WORDS, SHINGLE, THRESHOLD
 from .divergence import CHAR_LIMIT, COMMON, MIN_CHARS, MIN_WORDS, WORD_LIMIT
+from .suffixes import MIN_WORDS as MIN_PASSAGE
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
@@ -45,3 +46,15 @@ def divergence() -> str:
         case when length(t) >= {MIN_CHARS} and len(w) >= {MIN_WORDS} then jw.j end as b
         from t left join tl using (l) left join jc using (doc_id) left join jw using (doc_id))
     select doc_id, lang, round(a, 6) as char_distance, round(b, 6) as word_distance from r where a is null or a <= {CHAR_LIMIT} and b <= {WORD_LIMIT}"""
+
+
+def suffixes() -> str:
+    """All runs of MIN_WORDS words by their text, and islands of positions that follow each other like their sources."""
+    n = MIN_PASSAGE
+    return f"""
+    with t as (select doc_id, {_WORDS} as w from documents),
+    p as (select doc_id, unnest(range(len(w) - {n} + 1)) as pos, w from t where len(w) >= {n}),
+    k as (select doc_id, pos, md5(array_to_string(w[pos + 1 : pos + {n}], ' ')) as k from p),
+    s as (select *, count(*) over (partition by k) as n, first_value(doc_id) over o as source_id, first_value(pos) over o as source_word, row_number() over o = 1 as is_source from k window o as (partition by k order by doc_id nulls last, pos)),
+    i as (select *, pos - row_number() over (partition by doc_id, source_id, pos - source_word, is_source order by pos) as island from s where n > 1)
+    select doc_id, min(pos)::bigint as start_word, (count(*) + {n} - 1)::bigint as n_words, source_id, min(source_word)::bigint as source_word, is_source from i group by doc_id, source_id, pos - source_word, is_source, island"""

@@ -13,6 +13,7 @@ from .decontaminate import contained_items
 from .divergence import kept
 from .licenses import find_licenses
 from .oracles import decontamination, divergence
+from .oracles import suffixes as suffixes_sql
 from .packing import pack
 from .pii import find_pii
 from .sharding import shuffled
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination(), "op3_divergence": divergence()}
+    return {"op1_decontamination": decontamination(), "op2_suffixes": suffixes_sql(), "op3_divergence": divergence()}

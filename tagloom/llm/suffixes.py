@@ -3,25 +3,36 @@
 Every word position of every text starts a suffix. Suffixes are bucketed by their first
 ``q`` words; a bucket is refined by the bucket identifiers of a later offset: two
 suffixes agree on d + s words (s <= d) if they share the bucket of depth d both at
-their own position and s words further on. A suffix alone in its bucket has found its
-place in the suffix array and takes no further part, and neither does one whose pointer
-leads to such a suffix. The identifiers that a refinement gives are those that the next
-one reads, until the depth is ``min_words``. Buckets that then have two or more members
-are the passages of ``min_words`` words that repeat; runs of them are reported.
-
-Positions travel as compressed columns, a row for a block of documents and a partition
-of buckets, so a refinement costs a few bytes a suffix; texts are read once. Each
-refinement is two shuffles: by bucket, to find the buckets with company and name them,
-and back by block, to read pointers.
+their own position and s words further on. The identifiers that a refinement gives are
+those that the next one reads, until the depth is ``min_words``. A bucket without company
+is a suffix that has found its place in the suffix array: only runs of suffixes that all
+have company, long enough for a passage, take part in the next refinement. Buckets of the
+last depth with two or more members are the passages that repeat; runs of them are reported.
+
+A block is the words of some documents. Of each bucket that occurs in it a block sends the
+identifier once, whatever the number of its members, to the range of identifiers that it
+belongs to; there buckets with company are told, and the identifiers of those go back to the
+blocks. At the last depth a block sends its first member along, in the order of document and
+position, and gets back the first of all blocks. So the members of a bucket never meet in one
+place: a passage that stands in every document costs a range as many rows as there are blocks.
+Identifiers travel sorted, as compressed differences, in fragments of a task's identifiers
+for a range. A task makes at most ``FAN`` fragments; where there are more ranges, an exchange
+takes several steps, so fragments grow in proportion to the input.
+
+Identifiers are hashes. Those of the first depths are shortened on their way, which can only
+let a suffix take part in the next refinement that needn't; at the last depth 96 bits decide.
 
 Words are runs of letters and digits in lower case. Defined cases: null, empty and
 short texts have no suffix of that depth and no result; repeated rows repeat each
-other; a text may repeat itself, also with overlap; null ids are kept; empty tables
+other; a text may repeat itself, also with overlap; null ids are kept and come last; rows
+that share an id come in the order of a hash of their texts; empty tables
 give empty results; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,16 +40,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
 from .words import Words, mix, shingle_hashes, slices
 
 MIN_WORDS, Q = 50, 13
 BLOCK_WORDS = 1_000_000
-#: Words of a partition of buckets; with arrays of its positions this is about 100 MB.
-PART_WORDS = 2_000_000
-_ROW = "to int, block bigint, origin int, n bigint, data binary"
-_DIRECTORY = -1
+#: Words whose identifiers a partition holds; with arrays of them this is about 150 MB.
+PART_WORDS = 4_000_000
+FAN = 512
+_ROW = "to int, kind int, block bigint, n bigint, data binary"
+_STATE, _ITEMS = 0, 1
 _U = np.uint64
+#: Columns of what is sent: of every depth but the last, of the last, and of the answer to that.
+_PLAIN = (np.uint64, np.int64)
+_FIRST = (np.uint64, np.int64, np.uint32, np.uint8, np.int64, np.uint32, np.uint32)
+_SOURCE = (np.uint64, np.int64, np.uint8, np.uint8, np.int64, np.uint32, np.uint32)
 
 
 def encode(*columns: np.ndarray) -> bytes:
@@ -63,224 +78,344 @@ def deltas(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _home(block: int, parts: int) -> int:
-    return int(mix(np.array([block], dtype=np.int64).view(np.uint64))[0] % _U(parts))
+@dataclass(frozen=True)
+class Route:
+    """How what is meant for one of ``parts`` partitions gets there in steps of at most ``fan`` fragments a task."""
 
+    parts: int
+    fan: int = FAN
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    to, block, origin, n, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(block, pa.int64()), pa.array(origin, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["to", "block", "origin", "n", "data"])
+    @property
+    def steps(self) -> int:
+        n = 1
+        while self.fan**n < self.parts:
+            n += 1
+        return n
 
+    def to(self, part: np.ndarray, step: int, task: int) -> np.ndarray:
+        """Where things go in a step; in all but the last, tasks that send to one group of partitions divide it among them."""
+        if step == self.steps:
+            return part
+        width = self.fan ** (self.steps - step)
+        spread = max(1, self.parts // -(-self.parts // width))
+        return part // width * spread + task % spread
 
-def by_bucket(block: int, key: np.ndarray, pos: np.ndarray, parts: int, bits: int) -> list[tuple]:
-    """Rows that carry (key, position) to the partitions of the keys' ranges."""
-    if not len(key):
-        return []
-    key = key >> _U(64 - bits)
-    order = np.argsort(key)
-    key, pos = key[order], pos[order].astype(np.uint32)
-    step = -(-(1 << bits) // parts)
-    edge = [0, *np.searchsorted(key, np.array([step * p for p in range(1, parts)], dtype=np.uint64)).tolist(), len(key)]
-    return [(p, block, 0, b - a, encode(deltas(key[a:b]), pos[a:b])) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+    def home(self, block: np.ndarray) -> np.ndarray:
+        return (mix(block.astype(np.int64).view(_U)) % _U(self.parts)).astype(np.int64)
 
+    def range(self, key: np.ndarray) -> np.ndarray:
+        """The range of a 64-bit identifier, from its upper half."""
+        return ((key >> _U(32)) * _U(self.parts) >> _U(32)).astype(np.int64)
 
-def _initial(batches, parts: int, q: int, bits: int):
-    task = TaskContext.get().partitionId()
-    seq = 0
-    ids, first, keys, at, words = [], [], [], [], 0
 
-    def emit():
-        nonlocal ids, first, keys, at, words, seq
-        block = (task << 24) | seq
-        seq += 1
-        null = np.array([i is None for i in ids], dtype=np.uint8)
-        known = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-        start = np.array(first, dtype=np.int64)
-        rows = [(_home(block, parts), block, _DIRECTORY, len(ids), encode(null, known, start)), *by_bucket(block, np.concatenate(keys), np.concatenate(at), parts, bits)]
-        ids, first, keys, at, words = [], [], [], [], 0
-        for k in range(0, len(rows), 64):
-            yield _batch(rows[k : k + 64])
+def _batches(rows: list[tuple]):
+    for k in range(0, len(rows), 64):
+        to, kind, block, n, data = zip(*rows[k : k + 64])
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["to", "kind", "block", "n", "data"])
 
-    for batch in batches:
-        for part in slices(batch, "text"):
-            w = Words(part.column(1))
-            h, i = shingle_hashes(w.hash, w.doc, q)
-            ids += part.column(0).to_pylist()
-            first += (w.first[:-1] + words).tolist()
-            keys.append(h)
-            at.append(i + words)
-            words += len(w.hash)
-            if words >= BLOCK_WORDS:
-                yield from emit()
-    if ids:
-        yield from emit()
+
+def fragments(route: Route, step: int, task: int, columns: list[np.ndarray], homeward: bool) -> list[tuple]:
+    """Rows that carry items (identifier, block, ...) a step on: to the identifiers' ranges, or home to the blocks."""
+    key, block = columns[:2]
+    if not len(key):
+        return []
+    part = route.home(block) if homeward else route.range(key)
+    order = np.lexsort((key, block, part)) if homeward else np.argsort(key)
+    to = route.to(part[order], step, task)
+    edge = [*np.flatnonzero(np.append(True, np.diff(to) != 0)).tolist(), len(to)]
+    columns = [c[order] for c in columns]
+    return [(int(to[a]), _ITEMS, -1, b - a, encode(deltas(columns[0][a:b]), deltas(columns[1][a:b]), *(c[a:b] for c in columns[2:]))) for a, b in zip(edge, edge[1:])]
 
 
-class _Members:
-    """All (key, block, position) of a partition of buckets, in order of key, block, position."""
+class _Received:
+    """What a partition got: states as they came, and all items in one array a column."""
 
-    def __init__(self, batches, parts: int):
-        self.directories, keys, blocks, pos = [], [], [], []
+    def __init__(self, batches, types):
+        self.states: list[tuple[int, int, bytes]] = []
+        got = []
         for b in batches:
-            for block, origin, n, data in zip(*(b.column(c).to_pylist() for c in range(1, 5))):
-                if origin == _DIRECTORY:
-                    self.directories.append((_home(block, parts), block, _DIRECTORY, n, data))
+            for kind, block, n, data in zip(*(b.column(c).to_pylist() for c in range(1, 5))):
+                if kind == _STATE:
+                    self.states.append((block, n, data))
                 else:
-                    k, p = decode(data, n, np.uint64, np.uint32)
-                    keys.append(np.cumsum(k, dtype=np.uint64))
-                    blocks.append((block, n))
-                    pos.append(p)
-        self.block = self.pos = self.bucket = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
-        if not keys:
-            return
-        names = np.unique(np.array([b for b, _ in blocks], dtype=np.int64))
-        key = np.concatenate(keys)
-        del keys
-        order = np.argsort(key)
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(key)))
-        shared = np.repeat(size > 1, size)
-        bucket = np.repeat(np.cumsum(size > 1) - 1, size)[shared]
-        order = order[shared]
-        where = np.repeat(np.searchsorted(names, np.array([b for b, _ in blocks], dtype=np.int64)), [n for _, n in blocks])[order]
-        pos = np.concatenate(pos)[order].astype(np.int64)
-        again = np.lexsort((pos, where, bucket))
-        self.block, self.pos, self.bucket = names[where[again]], pos[again], bucket[again]
-        self.first = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(again) else self.first
-
-    def by_block(self, keep: np.ndarray):
-        """Runs (block, indexes in order of position) of the members that ``keep`` selects."""
-        order = np.lexsort((self.pos[keep], self.block[keep]))
-        at = keep[order]
-        edge = np.append(np.flatnonzero(np.append(True, np.diff(self.block[at]) != 0)), len(at)) if len(at) else []
-        for a, b in zip(edge[:-1], edge[1:]):
-            yield int(self.block[at[a]]), at[a:b]
-
-
-def _name_buckets(batches, parts: int):
-    """Members of buckets with company, back to their blocks with the buckets' numbers."""
-    own = TaskContext.get().partitionId()
-    m = _Members(batches, parts)
-    rows = m.directories
-    for block, at in m.by_block(np.arange(len(m.pos))):
-        rows.append((_home(block, parts), block, own, len(at), encode(deltas(m.pos[at].astype(np.uint32)), m.bucket[at].astype(np.uint32))))
-    for k in range(0, len(rows), 64):
-        yield _batch(rows[k : k + 64])
+                    columns = decode(data, n, *types)
+                    got.append([np.cumsum(columns[0], dtype=_U), np.cumsum(columns[1], dtype=np.int64), *columns[2:]])
+        self.items = [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, t) for t in types]
+
+    def moved(self, route: Route, step: int, task: int) -> list[tuple]:
+        return [(int(route.to(route.home(np.array([block])), step, task)[0]), _STATE, block, n, data) for block, n, data in self.states]
+
+
+class Block:
+    """Segments of a block's documents that may hold passages, and its documents."""
+
+    _DOC = (np.uint8, np.int64, np.uint32, np.int64)
+
+    def __init__(self, null, doc, text, first, start, size, words):
+        #: Of each document: whether its id is null, the id, a hash of its text, its first position in the block.
+        self.null, self.doc, self.text, self.first = null, doc, text, first
+        #: Of each segment: its first position in the block and its number of words; the words of all segments.
+        self.start, self.size, self.words = start, size, words
+
+    def pack(self) -> bytes:
+        names, rank = np.unique(self.words, return_inverse=True)
+        parts = [encode(self.null, self.doc, self.text, self.first), encode(deltas(self.start), self.size), encode(deltas(names)), encode(rank.astype(np.uint32))]
+        head = np.array([len(self.doc), len(self.start), len(names), len(rank), *map(len, parts)], dtype=np.int64)
+        return head.tobytes() + b"".join(parts)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        head = np.frombuffer(data[:64], dtype=np.int64).tolist()
+        at, parts = 64, []
+        for n in head[4:]:
+            parts.append(data[at : at + n])
+            at += n
+        start, size = decode(parts[1], head[1], np.int64, np.int64)
+        names = np.cumsum(decode(parts[2], head[2], _U)[0], dtype=_U)
+        return cls(*decode(parts[0], head[0], *cls._DOC), np.cumsum(start), size, names[decode(parts[3], head[3], np.uint32)[0]])
+
+    def buckets(self, depths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment, index among the segments' words and identifier of every suffix of the last depth."""
+        segment = np.repeat(np.arange(len(self.size)), self.size)
+        key, at = shingle_hashes(self.words, segment, depths[0])
+        for d, deeper in zip(depths, depths[1:]):
+            shift = deeper - d
+            later = np.searchsorted(at, at + shift)
+            later[later == len(at)] = 0
+            ok = np.flatnonzero((at[later] == at + shift) & (segment[at[later]] == segment[at]))
+            with np.errstate(over="ignore"):
+                key, at = mix(mix(key[ok] + _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93) + key[later[ok]]), at[ok]
+        return segment[at], at, key
+
+    def position(self, segment: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The position in the block of words of segments."""
+        return self.start[segment] + at - (np.cumsum(self.size) - self.size)[segment]
+
+    def kept(self, depths: list[int], shared: np.ndarray, min_words: int) -> Block:
+        """The block with the runs of suffixes with company that may hold a passage."""
+        segment, at, _ = self.buckets(depths)
+        segment, at = segment[shared], at[shared]
+        new = np.append(True, (np.diff(at) != 1) | (np.diff(segment) != 0)) if len(at) else np.zeros(0, bool)
+        a = np.flatnonzero(new)
+        n = np.diff(np.append(a, len(at))) + depths[-1] - 1
+        a, n = a[n >= min_words], n[n >= min_words]
+        inner = np.repeat(at[a] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        start = self.position(segment[a], at[a])
+        used = np.unique(np.searchsorted(self.first, start, side="right") - 1)
+        return Block(self.null[used], self.doc[used], self.text[used], self.first[used], start, n, self.words[inner])
 
+    def documents(self, segment: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, self.start[segment], side="right") - 1
 
-def _by_block(batches):
-    """(block, its directory row, its other rows) of a partition of blocks."""
-    out: dict[int, tuple[list, list]] = {}
-    for b in batches:
-        for block, origin, n, data in zip(*(b.column(c).to_pylist() for c in range(1, 5))):
-            out.setdefault(block, ([], []))[origin != _DIRECTORY].append((origin, n, data))
-    for block in sorted(out):
-        head, rows = out.pop(block)
-        yield block, head[0], rows
 
+def _short(key: np.ndarray, bits: int) -> np.ndarray:
+    return key & ~((_U(1) << _U(64 - bits)) - _U(1)) if bits < 64 else key
 
-def _refine(batches, parts: int, shift: int, bits: int):
-    """From buckets of depth d to keys of depth d + shift, read through the pointer ``shift`` words on."""
-    for block, head, rows in _by_block(batches):
-        yield _batch([(_home(block, parts), block, *head)])
-        if not rows:
-            continue
-        got = [(origin, *decode(data, n, np.uint32, np.uint32)) for origin, n, data in rows]
-        pos = np.concatenate([np.cumsum(p, dtype=np.int64) for _, p, _ in got])
-        name = np.concatenate([(_U(o) << _U(32)) | r.astype(np.uint64) for o, _, r in got])
-        order = np.argsort(pos)
-        pos, name = pos[order], name[order]
-        start = decode(head[2], head[1], np.uint8, np.int64, np.int64)[2]
-        later = np.searchsorted(pos, pos + shift)
-        later[later == len(pos)] = 0
-        doc = np.searchsorted(start, pos, side="right")
-        ok = np.flatnonzero((pos[later] == pos + shift) & (doc[later] == doc))
-        with np.errstate(over="ignore"):
-            key = mix(mix(name[ok] + _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93) + name[later[ok]])
-        out = by_bucket(block, key, pos[ok], parts, bits)
-        for k in range(0, len(out), 64):
-            yield _batch(out[k : k + 64])
-
-
-def _sources(batches, parts: int):
-    """Members of final buckets, back to their blocks with their bucket's first member."""
-    m = _Members(batches, parts)
-    rows = m.directories
-    first = m.first[m.bucket] if len(m.pos) else m.first
-    again = np.flatnonzero(first != np.arange(len(m.pos)))
-    for block, at in m.by_block(again):
-        src = first[at]
-        rows.append((_home(block, parts), block, 0, len(at), encode(deltas(m.pos[at].astype(np.uint32)), m.block[src], m.pos[src].astype(np.uint32))))
-    for k in range(0, len(rows), 64):
-        yield _batch(rows[k : k + 64])
 
+def _initial(batches, route: Route, depths: list[int], bits: int, min_words: int):
+    task = TaskContext.get().partitionId()
+    seq, words = 0, 0
+    docs, start, size, hashes = [], [], [], []
+
+    def emit():
+        nonlocal seq, words
+        name = (task << 24) | seq
+        null, ids, text = (np.concatenate([d[k] for d in docs]) for k in range(3))
+        first = np.concatenate(start)
+        block = Block(null, ids, text, first, first, np.concatenate(size), np.concatenate(hashes))
+        key = np.unique(_short(block.buckets(depths)[2], bits))
+        home = int(route.to(route.home(np.array([name])), 1, task)[0])
+        rows = [(home, _STATE, name, 0, block.pack()), *fragments(route, 1, task, [key, np.full(len(key), name)], False)]
+        seq, words = seq + 1, 0
+        docs.clear(), start.clear(), size.clear(), hashes.clear()
+        yield from _batches(rows)
 
-_RUN = "kind int, block bigint, doc_id bigint, start_word bigint, n_words bigint, source_word bigint"
+    for batch in batches:
+        for part in slices(batch, "text"):
+            w = Words(part.column(2))
+            n = np.diff(w.first)
+            long = np.flatnonzero(n >= min_words)
+            if not len(long):
+                continue
+            ids = part.column(0)
+            null = np.array([ids[int(i)].as_py() is None for i in long], dtype=np.uint8)
+            known = np.array([ids[int(i)].as_py() or 0 for i in long], dtype=np.int64)
+            docs.append((null, known, (part.column(1).to_numpy()[long].view(_U) >> _U(32)).astype(np.uint32)))
+            own = np.repeat(n >= min_words, n)
+            start.append(words + np.cumsum(n[long]) - n[long])
+            size.append(n[long])
+            hashes.append(w.hash[own])
+            words += int(n[long].sum())
+            if words >= BLOCK_WORDS:
+                yield from emit()
+    if words:
+        yield from emit()
 
 
-def _runs(batches, depth: int):
-    """Runs of repeated positions with one source (kind 0, block: of the source), and the directory (kind 1)."""
+def _relay(batches, route: Route, step: int, types, homeward: bool):
+    """Takes what is on its way a step further."""
+    task = TaskContext.get().partitionId()
+    got = _Received(batches, types)
+    yield from _batches([*got.moved(route, step, task), *fragments(route, step, task, got.items, homeward)])
 
-    def out(kind, block, ids, start, n, source):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), kind, np.int32)), pa.array(block), ids, pa.array(start), pa.array(n), pa.array(source)], ["kind", "block", "doc_id", "start_word", "n_words", "source_word"])
 
-    for block, head, rows in _by_block(batches):
-        null, known, start = decode(head[2], head[1], np.uint8, np.int64, np.int64)
-        ids = pa.array(known, mask=null.astype(bool))
-        zero = np.zeros(len(start), np.int64)
-        yield out(1, np.full(len(start), block), ids, start, zero, zero)
-        if not rows:
+def _company(batches, route: Route):
+    """Back to the blocks: the identifiers that two blocks or more have sent."""
+    task = TaskContext.get().partitionId()
+    got = _Received(batches, _PLAIN)
+    order = np.argsort(got.items[0], kind="stable")
+    key, block = (c[order] for c in got.items)
+    same = key[1:] == key[:-1]
+    shared = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
+    yield from _batches([*got.moved(route, 1, task), *fragments(route, 1, task, [key[shared], block[shared]], True)])
+
+
+def _by_block(got: _Received):
+    """(block, its state, the numbers of its items) of a partition of blocks."""
+    order = np.argsort(got.items[1], kind="stable")
+    block = got.items[1][order]
+    for name, _, data in sorted(got.states, key=lambda s: s[0]):
+        a, b = np.searchsorted(block, [name, name + 1])
+        yield name, Block.unpack(data), order[a:b]
+
+
+def _with_company(key: np.ndarray, bits: int, sent: np.ndarray) -> np.ndarray:
+    """Which suffixes have company in other blocks, as was sent, or in their own."""
+    short = _short(key, bits)
+    sent = np.sort(sent)
+    at = np.minimum(np.searchsorted(sent, short), max(len(sent) - 1, 0))
+    order = np.argsort(short)
+    same = short[order][1:] == short[order][:-1]
+    own = np.zeros(len(key), bool)
+    own[order] = np.append(same, False) | np.append(False, same) if len(key) else own
+    return own | (sent[at] == short) if len(sent) else own
+
+
+def _firsts(block: Block, depths: list[int]) -> tuple[np.ndarray, ...]:
+    """Of all suffixes: document, position in it, identifier, check; the order by identifier, then document and position, and where each identifier begins in it."""
+    segment, at, key = block.buckets(depths)
+    doc = block.documents(segment)
+    pos = block.position(segment, at) - block.first[doc]
+    pieces = np.repeat(np.arange(len(block.size)), block.size)
+    check, _ = shingle_hashes(mix(block.words ^ _U(0xA0761D6478BD642F)), pieces, depths[-1])
+    order = np.lexsort((pos, doc, block.text[doc], block.doc[doc], block.null[doc], key))
+    new = np.flatnonzero(np.append(True, np.diff(key[order].view(np.int64)) != 0)) if len(key) else np.zeros(0, np.int64)
+    return doc, pos, key, (check >> _U(32)).astype(np.uint32), order, new
+
+
+def _refine(batches, route: Route, depths: list[int], bits: int, min_words: int, last: bool):
+    """From buckets with company at a depth to the identifiers of the next, which is read through the pointers of this."""
+    task = TaskContext.get().partitionId()
+    got = _Received(batches, _PLAIN)
+    for name, block, own in _by_block(got):
+        shared = _with_company(block.buckets(depths[:-1])[2], bits, got.items[0][own])
+        block = block.kept(depths[:-1], shared, min_words)
+        if not len(block.size):
             continue
-        got = [decode(data, n, np.uint32, np.int64, np.uint32) for _, n, data in rows]
-        pos = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
-        of, at = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (1, 2))
-        order = np.argsort(pos)
-        pos, of, at = pos[order], of[order], at[order]
-        doc = np.searchsorted(start, pos, side="right") - 1
-        new = np.append(True, (np.diff(pos) != 1) | (np.diff(doc) != 0) | (np.diff(of) != 0) | (np.diff(at) != 1))
-        a = np.flatnonzero(new)
-        n = np.diff(np.append(a, len(pos))) + depth - 1
-        yield out(0, of[a], ids.take(pa.array(doc[a])), pos[a] - start[doc[a]], n, at[a])
-
-
-def _locate(table: pa.Table) -> pa.Table:
-    """Replaces positions in the sources' block by documents and positions in them."""
-    kind = table.column("kind").to_numpy()
-    runs, directory = (table.take(pa.array(np.flatnonzero(kind == k))) for k in (0, 1))
-    start = directory.column("start_word").to_numpy()
-    order = np.argsort(start, kind="stable")
-    at = runs.column("source_word").to_numpy()
-    doc = np.searchsorted(start[order], at, side="right") - 1
-    names = ["doc_id", "start_word", "n_words", "source_id", "source_word"]
-    if not runs.num_rows:
-        return pa.table({n: pa.array([], pa.int64()) for n in names})
-    return pa.table([runs.column("doc_id"), runs.column("start_word"), runs.column("n_words"), directory.column("doc_id").take(pa.array(order[doc])), pa.array(at - start[order][doc])], names)
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, partitions: int | None = None) -> DataFrame:
-    """doc_id, start_word, n_words, source_id, source_word of every repeated passage.
-
-    A passage has ``min_words`` or more words; its source is the occurrence that comes
-    first in the order of reading and isn't reported itself, so removing what is reported
-    leaves one copy of every passage. Where the sources of a passage's parts differ, the
-    parts are reported separately and overlap by ``min_words`` - 1 words.
+        home = int(route.to(route.home(np.array([name])), 1, task)[0])
+        if last:
+            doc, pos, key, check, order, new = _firsts(block, depths)
+            f = order[new]
+            d = doc[f]
+            items = [key[f], np.full(len(f), name), check[f], block.null[d], block.doc[d], block.text[d], pos[f].astype(np.uint32)]
+        else:
+            key = np.unique(_short(block.buckets(depths)[2], bits))
+            items = [key, np.full(len(key), name)]
+        yield from _batches([(home, _STATE, name, 0, block.pack()), *fragments(route, 1, task, items, False)])
+
+
+def _sources(batches, route: Route):
+    """Back to the blocks: of each bucket with members in two blocks or more the first member, and whether it is the block's own."""
+    task = TaskContext.get().partitionId()
+    got = _Received(batches, _FIRST)
+    key, block, check, null, doc, text, pos = got.items
+    order = np.lexsort((block, pos, text, doc, null, check, key))
+    new = np.append(True, (np.diff(key[order].view(np.int64)) != 0) | (np.diff(check[order].astype(np.int64)) != 0)) if len(key) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    shared = np.repeat(size > 1, size)
+    of = order[np.repeat(first, size)][shared]
+    own = order[shared]
+    items = [key[own], block[own], (own == of).astype(np.uint8), null[of], doc[of], text[of], pos[of]]
+    yield from _batches([*got.moved(route, 1, task), *fragments(route, 1, task, items, True)])
+
+
+_RESULT = "doc_id bigint, start_word bigint, n_words bigint, source_id bigint, source_word bigint, is_source boolean"
+
+
+def _runs(batches, depths: list[int]):
+    """Runs of repeated positions with one source."""
+    got = _Received(batches, _SOURCE)
+    for _, block, own in _by_block(got):
+        doc, pos, key, _, order, new = _firsts(block, depths)
+        if not len(key):
+            continue
+        size = np.diff(np.append(new, len(order)))
+        local = key[order[new]]
+        # the source of each bucket: the first of the block's own members, unless another block's comes before
+        f = order[new]
+        src = [block.null[doc[f]], block.doc[doc[f]], block.text[doc[f]], pos[f].astype(np.int64)]
+        mine = np.ones(len(new), bool)
+        several = size > 1
+        if len(own):
+            at = np.searchsorted(local, got.items[0][own])
+            several[at] = True
+            mine[at] = got.items[2][own] == 1
+            for k, c in enumerate((3, 4, 5, 6)):
+                src[k][at] = got.items[c][own]
+        of = np.repeat(np.arange(len(new)), size)
+        source = np.zeros(len(order), bool)
+        source[new] = mine
+        take = several[of]
+        back = np.lexsort((pos[order][take], doc[order][take]))
+        of, source, at = of[take][back], source[take][back], order[take][back]
+        d, p = doc[at], pos[at]
+        s_null, s_doc, s_text, s_pos = (c[of] for c in src)
+        cut = np.append(True, (np.diff(d) != 0) | (np.diff(p) != 1) | (np.diff(s_null) != 0) | (np.diff(s_doc) != 0) | (np.diff(s_text) != 0) | (np.diff(s_pos) != 1) | (source[1:] != source[:-1])) if len(at) else np.zeros(0, bool)
+        a = np.flatnonzero(cut)
+        n = np.diff(np.append(a, len(at))) + depths[-1] - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block.doc[d[a]], mask=block.null[d[a]].astype(bool)), pa.array(p[a]), pa.array(n), pa.array(s_doc[a], mask=s_null[a].astype(bool)), pa.array(s_pos[a]), pa.array(source[a])],
+            [f.split()[0] for f in _RESULT.split(", ")],
+        )
+
+
+def depths_of(min_words: int, q: int) -> list[int]:
+    """The depths of the refinements: twice the one before, until it is ``min_words``."""
+    out = [q]
+    while out[-1] < min_words:
+        out.append(min(2 * out[-1], min_words))
+    return out if len(out) > 1 else [q, q]
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, partitions: int | None = None, fan: int = FAN) -> DataFrame:
+    """doc_id, start_word, n_words, source_id, source_word, is_source of every passage that repeats.
+
+    A passage has ``min_words`` or more words; its source is the occurrence that comes first
+    in the order of ids and positions, whatever the division of the input. Every occurrence
+    is reported; removing those that aren't sources leaves one copy of every passage. Where
+    the sources of a passage's parts differ, the parts are reported separately and overlap by
+    ``min_words`` - 1 words.
     """
     if not 0 < q <= min_words:
         raise ValueError("q must be from 1 to min_words")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
     words = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6 + 1
-    parts = partitions or max(1, -(-words // PART_WORDS))
+    route = Route(partitions or max(1, -(-words // PART_WORDS)), fan)
     bits = min(60, words.bit_length() + 17)
-    rows = docs.mapInArrow(lambda b: _initial(b, parts, q, bits), _ROW).repartitionById(parts, F.col("to"))
-    depth = q
-    while depth < min_words:
-        shift = min(depth, min_words - depth)
-        depth += shift
-        wide = 60 if depth == min_words else bits
-        rows = rows.mapInArrow(lambda b: _name_buckets(b, parts), _ROW).repartitionById(parts, F.col("to"))
-        rows = rows.mapInArrow(lambda b, s=shift, w=wide: _refine(b, parts, s, w), _ROW).repartitionById(parts, F.col("to"))
-    runs = cut(rows.mapInArrow(lambda b: _sources(b, parts), _ROW).repartitionById(parts, F.col("to")).mapInArrow(lambda b: _runs(b, min_words), _RUN))
-    return runs.groupBy("block").applyInArrow(_locate, "doc_id bigint, start_word bigint, n_words bigint, source_id bigint, source_word bigint")
+    depths = depths_of(min_words, q)
+
+    def sent(rows: DataFrame, types, homeward: bool) -> DataFrame:
+        rows = rows.repartitionById(route.parts, F.col("to"))
+        for step in range(2, route.steps + 1):
+            rows = rows.mapInArrow(lambda b, s=step: _relay(b, route, s, types, homeward), _ROW).repartitionById(route.parts, F.col("to"))
+        return rows
+
+    rows = sent(docs.mapInArrow(lambda b: _initial(b, route, depths[:1], bits, min_words), _ROW), _PLAIN, False)
+    for k in range(2, len(depths) + 1):
+        last = k == len(depths)
+        rows = sent(rows.mapInArrow(lambda b: _company(b, route), _ROW), _PLAIN, True)
+        rows = rows.mapInArrow(lambda b, k=k, last=last: _refine(b, route, depths[:k], bits, min_words, last), _ROW)
+        rows = sent(rows, _FIRST if last else _PLAIN, False)
+    rows = sent(rows.mapInArrow(lambda b: _sources(b, route), _ROW), _SOURCE, True)
+    return rows.mapInArrow(lambda b: _runs(b, depths), _RESULT)

@@ -93,8 +93,7 @@ def test_op1_every_class_misses_less_than_it_says():
         assert (1 - share) ** need <= decontaminate.MISS * 1.2
 
 
-@pytest.mark.parametrize("q,n", [(3, 12), (5, 12), (4, 13), (12, 12)])
-def test_op2_finds_exactly_the_repeated_positions(spark, q, n):
+def repeated_texts(q):
     rng = random.Random(q)
     words = vocabulary(rng)
     shared = [[rng.choice(words) for _ in range(rng.randint(8, 40))] for _ in range(12)]
@@ -104,23 +103,52 @@ def test_op2_finds_exactly_the_repeated_positions(spark, q, n):
         for _ in range(rng.randint(0, 5)):
             t += [rng.choice(words) for _ in range(rng.randint(0, 30))] + rng.choice(shared)
         texts.append(" ".join(t))
-    texts += [texts[0], "ab " * 30]
-    found = suffixes.repeats(frame(spark, texts), n, q, partitions=3).collect()
+    return [*texts, texts[0], "ab " * 30]
+
+
+@pytest.mark.parametrize("q,n,parts,fan", [(3, 12, 3, 512), (5, 12, 7, 2), (4, 13, 10, 3), (12, 12, 1, 512)])
+def test_op2_finds_exactly_the_repeated_positions(spark, monkeypatch, q, n, parts, fan):
+    monkeypatch.setattr(suffixes, "BLOCK_WORDS", 300)
+    texts = repeated_texts(q)
+    found = suffixes.repeats(frame(spark, texts), n, q, partitions=parts, fan=fan).collect()
     where = defaultdict(list)
     for d, t in enumerate(texts):
         w = t.split()
         for i in range(len(w) - n + 1):
             where[tuple(w[i : i + n])].append((d, i))
-    covered = set()
+    covered = Counter()
     for r in found:
         assert r.n_words >= n
         a, b = texts[r.doc_id].split(), texts[r.source_id].split()
+        for k in range(r.n_words - n + 1):
+            first = where[tuple(a[r.start_word + k : r.start_word + k + n])][0]
+            assert first == (r.source_id, r.source_word + k) and r.is_source == (first == (r.doc_id, r.start_word + k))
+            covered[r.doc_id, r.start_word + k] += 1
         assert a[r.start_word : r.start_word + r.n_words] == b[r.source_word : r.source_word + r.n_words]
-        covered |= {(r.doc_id, i) for i in range(r.start_word, r.start_word + r.n_words - n + 1)}
-    repeated = {p for v in where.values() if len(v) > 1 for p in v}
-    assert covered <= repeated
-    # of every repeated passage all occurrences but one are reported
-    assert all(len(covered & set(v)) == len(v) - 1 for v in where.values() if len(v) > 1)
+    # every occurrence of every repeated passage is reported once
+    assert covered == Counter(p for v in where.values() if len(v) > 1 for p in v) and len(covered) > 500
+
+
+def test_op2_does_not_depend_on_the_division_of_the_input(spark, monkeypatch):
+    texts = repeated_texts(3)
+    rows = [(d // 2 if d % 5 else None, t) for d, t in enumerate(texts)] + [(3, texts[4])] * 3
+    got = []
+    for parts, block, ranges in ((1, 10_000, 1), (3, 100, 4), (5, 300, 9)):
+        monkeypatch.setattr(suffixes, "BLOCK_WORDS", block)
+        got.append(sorted(map(repr, suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), 12, 4, partitions=ranges).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+
+
+def test_op2_routes_reach_every_partition_in_bounded_steps():
+    for parts, fan in ((1, 2), (7, 2), (10, 3), (512, 512), (1000, 10)):
+        route = suffixes.Route(parts, fan)
+        part = np.arange(parts)
+        at = np.zeros(parts, np.int64)
+        for step in range(1, route.steps + 1):
+            to = route.to(part, step, 5)
+            assert to.max() < parts and all(len(np.unique(to[at == t])) <= fan for t in np.unique(at))
+            at = to
+        assert (at == part).all()
 
 
 def test_op2_columns_survive_encoding():

@@ -77,7 +77,7 @@ def test_op1_finds_items_in_long_texts_once(results):
 
 def test_op2_reports_repeated_rows_but_one(results):
     got = [r for r in results["op2"] if r[0] in (1, 2) or r[0] is None]
-    assert len(got) == 3 and {r[2] for r in got} == {80} and all(r[1] == 0 and r[4] == 0 for r in got)
+    assert len(got) == 4 and {r[2] for r in got} == {80} and all(r[1] == 0 and r[3] == 1 and r[4] == 0 for r in got) and sum(r[5] for r in got) == 1
 
 
 def test_op3_keeps_what_is_too_short(results):
