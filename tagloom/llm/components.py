@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("u")
-    return pairs.withColumn("m", F.least(F.min("v").over(w), F.col("u")))
+    """``pairs`` with the smallest of u and its neighbours; by aggregation, so that a node with many neighbours isn't gathered in one place."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return pairs.join(least, "u").withColumn("m", F.least("m", "u"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -281,6 +281,26 @@ def test_op5_fingerprints_are_majorities_and_whole_groups_are_found(spark):
     assert not any(d in got for d in first.values())
 
 
+@pytest.mark.parametrize("split,rows", [(1, 300_000), (2, 300_000), (1, 150)])
+def test_op5_finds_the_same_links_whatever_the_split(spark, monkeypatch, split, rows):
+    monkeypatch.setattr(simhash, "LIST_ROWS", rows)
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**64, (400, 4), dtype=np.uint64)
+    fp = np.concatenate([base, np.repeat(base[:1], 900, axis=0), np.repeat(base[1:60], 4, axis=0)])
+    fp[400:] ^= np.packbits(rng.random((len(fp) - 400, 256)) < 0.05, axis=1).view(np.uint64)
+    fp = np.unique(fp, axis=0)
+    nodes = spark.createDataFrame([tuple(int(x) for x in r) for r in fp.view(np.int64)], "f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    edges = simhash.near_edges(nodes, len(fp), depth=2, split=split)
+    roots = {r.node: r.root for r in components.components(edges).collect()}
+    name = simhash.node_ids(fp)
+    left, right = simhash.close_pairs(fp, fp, simhash.RADIUS)
+    x, y = simhash.stars(len(fp), left, right, name)
+    truth = dict(zip(x.tolist(), y.tolist()))
+    got = {k: v for k, v in roots.items() if k != v}
+    assert all(truth.get(k) == truth.get(v, v) for k, v in got.items())
+    assert sum(truth.get(k) == v for k, v in got.items()) >= 0.98 * len(truth) and len(truth) > 900
+
+
 def test_op5_links_connect_what_all_pairs_connect():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**64, (12, 4), dtype=np.uint64)
