@@ -16,8 +16,6 @@ results; other columns are untouched whatever their names.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,7 +27,7 @@ from .words import Words, buffer_of, slices
 COMMON, MIN_CHARS, MIN_WORDS = 40, 200, 30
 CHAR_LIMIT, WORD_LIMIT = 0.245, 0.447
 #: Different words that a task counts before it sends them on.
-TASK_WORDS = 500_000
+TASK_WORDS = 1_000_000
 #: Marks a class among words; no word begins with it.
 _CLASS = "\0"
 #: Languages, about a kilobyte each, whose references are sent to every executor.
@@ -65,19 +63,35 @@ def _lang() -> F.Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
+def _strings(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings between byte positions of a buffer."""
+    size = end - begin
+    off = np.append(0, np.cumsum(size))
+    at = np.repeat(begin - off[:-1], size) + np.arange(off[-1])
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[at])))
+
+
 def _counts(batches):
     """Words and classes of each language with their counts, summed in the task as far as memory allows."""
-    sums: dict[tuple[str, int], int] = defaultdict(int)
-    names: dict[int, bytes] = {}
-    classes: dict[str, np.ndarray] = {}
-
-    def emit():
-        rows = [(lang, names[h].decode("utf-8", "replace"), n) for (lang, h), n in sums.items()]
-        rows += [(lang, _CLASS + str(k), int(n)) for lang, c in classes.items() for k, n in enumerate(c)]
-        sums.clear(), names.clear(), classes.clear()
-        for at in range(0, len(rows), 100_000):
-            lang, word, n = zip(*rows[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], ["ref_lang", "word", "n"])
+    names = ["ref_lang", "word", "n"]
+    got: list[pa.RecordBatch] = []
+    rows = 0
+
+    def add(lang: str, words: pa.Array, n: np.ndarray):
+        nonlocal rows
+        got.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(words)).dictionary_encode(), words, pa.array(n, pa.int64())], names))
+        rows += len(words)
+
+    def summed() -> pa.Table:
+        nonlocal rows
+        table = pa.Table.from_batches(got).unify_dictionaries().group_by(names[:2]).aggregate([("n", "sum")]).rename_columns(names)
+        rows = 0
+        got.clear()
+        return table
+
+    def sent(table: pa.Table):
+        for b in table.combine_chunks().to_batches(100_000):
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), b.column(2)], names)
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -88,17 +102,19 @@ def _counts(batches):
             each = class_counts(part.column(1))
             for k, lang in enumerate(code.dictionary.to_pylist()):
                 own = of == k
-                classes[lang] = classes.get(lang, 0) + each[own].sum(axis=0)
                 at = np.flatnonzero(own[words.doc])
-                h, first, n = np.unique(words.hash[at], return_index=True, return_counts=True)
-                begin, end = words.start[at[first]].tolist(), words.end[at[first]].tolist()
-                for x, a, b, c in zip(h.tolist(), begin, end, n.tolist()):
-                    sums[lang, x] += c
-                    if x not in names:
-                        names[x] = raw[a:b].tobytes()
-            if len(sums) > TASK_WORDS:
-                yield from emit()
-    yield from emit()
+                _, first, n = np.unique(words.hash[at], return_index=True, return_counts=True)
+                add(lang, _strings(raw, words.start[at[first]], words.end[at[first]]), n)
+                add(lang, pa.array([_CLASS + str(c) for c in range(8)]), each[own].sum(axis=0))
+            if rows > TASK_WORDS:
+                table = summed()
+                if table.num_rows > TASK_WORDS // 2:
+                    yield from sent(table)
+                else:
+                    got += [pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], names)]
+                    rows = table.num_rows
+    if got:
+        yield from sent(summed())
 
 
 def references(docs: DataFrame, common: int = COMMON) -> DataFrame:

@@ -21,6 +21,9 @@ takes several steps, so fragments grow in proportion to the input.
 
 Identifiers are hashes. Those of the first depths are shortened on their way, which can only
 let a suffix take part in the next refinement that needn't; at the last depth 96 bits decide.
+Texts are read twice, to send identifiers and to bring the blocks to where those that have
+company are told; blocks are named by their documents, and a reading that divides the input
+otherwise is an error.
 
 Words are runs of letters and digits in lower case. Defined cases: null, empty and
 short texts have no suffix of that depth and no result; repeated rows repeat each
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from .words import Words, mix, shingle_hashes, slices
 
 MIN_WORDS, Q = 50, 13
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 4_000_000
 #: Words whose identifiers a partition holds; with arrays of them this is about 150 MB.
 PART_WORDS = 4_000_000
 FAN = 512
@@ -52,8 +55,8 @@ _STATE, _ITEMS = 0, 1
 _U = np.uint64
 #: Columns of what is sent: of every depth but the last, of the last, and of the answer to that.
 _PLAIN = (np.uint64, np.int64)
-_FIRST = (np.uint64, np.int64, np.uint32, np.uint8, np.int64, np.uint32, np.uint32)
-_SOURCE = (np.uint64, np.int64, np.uint8, np.uint8, np.int64, np.uint32, np.uint32)
+_FIRST = (np.uint64, np.int64, np.uint32, np.uint8, np.int64, np.uint16, np.uint32)
+_SOURCE = (np.uint64, np.int64, np.uint8, np.uint8, np.int64, np.uint16, np.uint32)
 
 
 def encode(*columns: np.ndarray) -> bytes:
@@ -103,9 +106,10 @@ class Route:
     def home(self, block: np.ndarray) -> np.ndarray:
         return (mix(block.astype(np.int64).view(_U)) % _U(self.parts)).astype(np.int64)
 
-    def range(self, key: np.ndarray) -> np.ndarray:
-        """The range of a 64-bit identifier, from its upper half."""
-        return ((key >> _U(32)) * _U(self.parts) >> _U(32)).astype(np.int64)
+    def range(self, key: np.ndarray, bits: int) -> np.ndarray:
+        """The range of an identifier of so many bits, from its upper ones."""
+        top = key >> _U(max(0, bits - 32))
+        return (top * _U(self.parts) >> _U(min(bits, 32))).astype(np.int64)
 
 
 def _batches(rows: list[tuple]):
@@ -114,13 +118,13 @@ def _batches(rows: list[tuple]):
         yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["to", "kind", "block", "n", "data"])
 
 
-def fragments(route: Route, step: int, task: int, columns: list[np.ndarray], homeward: bool) -> list[tuple]:
-    """Rows that carry items (identifier, block, ...) a step on: to the identifiers' ranges, or home to the blocks."""
+def fragments(route: Route, step: int, task: int, columns: list[np.ndarray], bits: int | None) -> list[tuple]:
+    """Rows that carry items (identifier, block, ...) a step on: to the ranges of identifiers of ``bits`` bits, or home to the blocks."""
     key, block = columns[:2]
     if not len(key):
         return []
-    part = route.home(block) if homeward else route.range(key)
-    order = np.lexsort((key, block, part)) if homeward else np.argsort(key)
+    part = route.home(block) if bits is None else route.range(key, bits)
+    order = np.lexsort((key, block, part)) if bits is None else np.argsort(key)
     to = route.to(part[order], step, task)
     edge = [*np.flatnonzero(np.append(True, np.diff(to) != 0)).tolist(), len(to)]
     columns = [c[order] for c in columns]
@@ -149,7 +153,7 @@ class _Received:
 class Block:
     """Segments of a block's documents that may hold passages, and its documents."""
 
-    _DOC = (np.uint8, np.int64, np.uint32, np.int64)
+    _DOC = (np.uint8, np.int64, np.uint16, np.int64)
 
     def __init__(self, null, doc, text, first, start, size, words):
         #: Of each document: whether its id is null, the id, a hash of its text, its first position in the block.
@@ -209,54 +213,70 @@ class Block:
 
 
 def _short(key: np.ndarray, bits: int) -> np.ndarray:
-    return key & ~((_U(1) << _U(64 - bits)) - _U(1)) if bits < 64 else key
+    """The upper bits of identifiers."""
+    return key >> _U(64 - bits)
 
 
-def _initial(batches, route: Route, depths: list[int], bits: int, min_words: int):
-    task = TaskContext.get().partitionId()
-    seq, words = 0, 0
+def _blocks(batches, min_words: int):
+    """(name, block) of a task's documents that are long enough for a passage; the name tells the block's place and documents."""
+    task, seq, words = 0, 0, 0
     docs, start, size, hashes = [], [], [], []
 
-    def emit():
+    def made():
         nonlocal seq, words
-        name = (task << 24) | seq
-        null, ids, text = (np.concatenate([d[k] for d in docs]) for k in range(3))
+        null, ids, text, whole = (np.concatenate([d[k] for d in docs]) for k in range(4))
+        with np.errstate(over="ignore"):
+            name = mix(np.array([task << 24 | seq], _U) + mix(whole.view(_U) + np.arange(len(whole), dtype=_U)).sum(dtype=_U))
         first = np.concatenate(start)
-        block = Block(null, ids, text, first, first, np.concatenate(size), np.concatenate(hashes))
-        key = np.unique(_short(block.buckets(depths)[2], bits))
-        home = int(route.to(route.home(np.array([name])), 1, task)[0])
-        rows = [(home, _STATE, name, 0, block.pack()), *fragments(route, 1, task, [key, np.full(len(key), name)], False)]
+        out = int(name.view(np.int64)[0]), Block(null, ids, text, first, first, np.concatenate(size), np.concatenate(hashes))
         seq, words = seq + 1, 0
         docs.clear(), start.clear(), size.clear(), hashes.clear()
-        yield from _batches(rows)
+        return out
 
     for batch in batches:
         for part in slices(batch, "text"):
             w = Words(part.column(2))
             n = np.diff(w.first)
+            task = part.column(3)[0].as_py()
             long = np.flatnonzero(n >= min_words)
             if not len(long):
                 continue
             ids = part.column(0)
             null = np.array([ids[int(i)].as_py() is None for i in long], dtype=np.uint8)
             known = np.array([ids[int(i)].as_py() or 0 for i in long], dtype=np.int64)
-            docs.append((null, known, (part.column(1).to_numpy()[long].view(_U) >> _U(32)).astype(np.uint32)))
+            whole = part.column(1).to_numpy()[long]
+            docs.append((null, known, (whole.view(_U) >> _U(48)).astype(np.uint16), whole))
             own = np.repeat(n >= min_words, n)
             start.append(words + np.cumsum(n[long]) - n[long])
             size.append(n[long])
             hashes.append(w.hash[own])
             words += int(n[long].sum())
             if words >= BLOCK_WORDS:
-                yield from emit()
+                yield made()
     if words:
-        yield from emit()
+        yield made()
+
+
+def _identifiers(batches, route: Route, depths: list[int], bits: int, min_words: int):
+    """The identifiers of each block's buckets, once each."""
+    task = TaskContext.get().partitionId()
+    for name, block in _blocks(batches, min_words):
+        key = np.unique(_short(block.buckets(depths)[2], bits))
+        yield from _batches(fragments(route, 1, task, [key, np.full(len(key), name)], bits))
+
+
+def _states(batches, route: Route, min_words: int):
+    """The blocks themselves."""
+    task = TaskContext.get().partitionId()
+    for name, block in _blocks(batches, min_words):
+        yield from _batches([(int(route.to(route.home(np.array([name])), 1, task)[0]), _STATE, name, 0, block.pack())])
 
 
-def _relay(batches, route: Route, step: int, types, homeward: bool):
+def _relay(batches, route: Route, step: int, types, bits: int | None):
     """Takes what is on its way a step further."""
     task = TaskContext.get().partitionId()
     got = _Received(batches, types)
-    yield from _batches([*got.moved(route, step, task), *fragments(route, step, task, got.items, homeward)])
+    yield from _batches([*got.moved(route, step, task), *fragments(route, step, task, got.items, bits)])
 
 
 def _company(batches, route: Route):
@@ -267,15 +287,17 @@ def _company(batches, route: Route):
     key, block = (c[order] for c in got.items)
     same = key[1:] == key[:-1]
     shared = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
-    yield from _batches([*got.moved(route, 1, task), *fragments(route, 1, task, [key[shared], block[shared]], True)])
+    yield from _batches([*got.moved(route, 1, task), *fragments(route, 1, task, [key[shared], block[shared]], None)])
 
 
 def _by_block(got: _Received):
     """(block, its state, the numbers of its items) of a partition of blocks."""
     order = np.argsort(got.items[1], kind="stable")
     block = got.items[1][order]
+    if not set(np.unique(block).tolist()) <= {name for name, _, _ in got.states}:
+        raise RuntimeError("the documents changed, or were divided otherwise, between two readings")
     for name, _, data in sorted(got.states, key=lambda s: s[0]):
-        a, b = np.searchsorted(block, [name, name + 1])
+        a, b = np.searchsorted(block, name), np.searchsorted(block, name, side="right")
         yield name, Block.unpack(data), order[a:b]
 
 
@@ -321,7 +343,7 @@ def _refine(batches, route: Route, depths: list[int], bits: int, min_words: int,
         else:
             key = np.unique(_short(block.buckets(depths)[2], bits))
             items = [key, np.full(len(key), name)]
-        yield from _batches([(home, _STATE, name, 0, block.pack()), *fragments(route, 1, task, items, False)])
+        yield from _batches([(home, _STATE, name, 0, block.pack()), *fragments(route, 1, task, items, 64 if last else bits)])
 
 
 def _sources(batches, route: Route):
@@ -337,7 +359,7 @@ def _sources(batches, route: Route):
     of = order[np.repeat(first, size)][shared]
     own = order[shared]
     items = [key[own], block[own], (own == of).astype(np.uint8), null[of], doc[of], text[of], pos[of]]
-    yield from _batches([*got.moved(route, 1, task), *fragments(route, 1, task, items, True)])
+    yield from _batches([*got.moved(route, 1, task), *fragments(route, 1, task, items, None)])
 
 
 _RESULT = "doc_id bigint, start_word bigint, n_words bigint, source_id bigint, source_word bigint, is_source boolean"
@@ -399,23 +421,27 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q, partitions:
     """
     if not 0 < q <= min_words:
         raise ValueError("q must be from 1 to min_words")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task"))
     words = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6 + 1
     route = Route(partitions or max(1, -(-words // PART_WORDS)), fan)
-    bits = min(60, words.bit_length() + 17)
+    # where one in 64 identifiers has company by chance, runs of them that are long enough for a passage still don't
+    bits = min(60, words.bit_length() + 6)
     depths = depths_of(min_words, q)
 
-    def sent(rows: DataFrame, types, homeward: bool) -> DataFrame:
+    def sent(rows: DataFrame, types, bits: int | None) -> DataFrame:
         rows = rows.repartitionById(route.parts, F.col("to"))
         for step in range(2, route.steps + 1):
-            rows = rows.mapInArrow(lambda b, s=step: _relay(b, route, s, types, homeward), _ROW).repartitionById(route.parts, F.col("to"))
+            rows = rows.mapInArrow(lambda b, s=step: _relay(b, route, s, types, bits), _ROW).repartitionById(route.parts, F.col("to"))
         return rows
 
-    rows = sent(docs.mapInArrow(lambda b: _initial(b, route, depths[:1], bits, min_words), _ROW), _PLAIN, False)
+    # texts are read twice, since blocks would otherwise travel with the identifiers and back
+    rows = sent(docs.mapInArrow(lambda b: _identifiers(b, route, depths[:1], bits, min_words), _ROW), _PLAIN, bits)
+    states = docs.mapInArrow(lambda b: _states(b, route, min_words), _ROW)
     for k in range(2, len(depths) + 1):
         last = k == len(depths)
-        rows = sent(rows.mapInArrow(lambda b: _company(b, route), _ROW), _PLAIN, True)
+        rows = rows.mapInArrow(lambda b: _company(b, route), _ROW)
+        rows = sent(rows.unionByName(states) if k == 2 else rows, _PLAIN, None)
         rows = rows.mapInArrow(lambda b, k=k, last=last: _refine(b, route, depths[:k], bits, min_words, last), _ROW)
-        rows = sent(rows, _FIRST if last else _PLAIN, False)
-    rows = sent(rows.mapInArrow(lambda b: _sources(b, route), _ROW), _SOURCE, True)
+        rows = sent(rows, _FIRST if last else _PLAIN, 64 if last else bits)
+    rows = sent(rows.mapInArrow(lambda b: _sources(b, route), _ROW), _SOURCE, None)
     return rows.mapInArrow(lambda b: _runs(b, depths), _RESULT)
