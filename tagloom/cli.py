@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .plans.engine import VALIDATORS, Options, ValidationError, changes_of, has_errors, list_blocks, listing, report, validate
@@ -32,8 +34,9 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin=None, root: str | None = None) -> int:
     args = parser().parse_args(argv)
     stdin = sys.stdin if stdin is None else stdin
-    wants_list = args.globs[:1] == ["list"]
-    globs = args.globs[1:] if wants_list else args.globs
+    # globs may stand before and after the command; they count alike
+    wants_list = "list" in args.globs
+    globs = [g for k, g in enumerate(args.globs) if not wants_list or k != args.globs.index("list")]
     try:
         options = Options(globs=globs, ignore=args.ignore, extensions=dict(args.extension), enable=args.enable, disable=args.disable)
         piped = (args.diff or not wants_list) and not stdin.isatty()
@@ -43,11 +46,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin
         changes = changes_of(diff_text(spark, text)) if text.strip() else None
         if changes is not None and not globs:
             # with a diff alone nothing is walked: exactly the files that it names are read
-            files = read_repo(spark, root, ignore=args.ignore, paths=[r.path for r in changes.select("path").distinct().collect()])
+            files = read_repo(spark, root, ignore=args.ignore, extensions=options.extensions, paths=[r.path for r in changes.select("path").distinct().collect()])
         elif changes is not None:
-            files = read_repo(spark, root, ignore=args.ignore)
+            files = read_repo(spark, root, ignore=args.ignore, extensions=options.extensions)
         else:
-            files = read_repo(spark, root, globs, args.ignore)
+            files = read_repo(spark, root, globs, args.ignore, extensions=options.extensions)
         if wants_list:
             print(listing(list_blocks(files, changes, options)))
             return 0
@@ -58,6 +61,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin
     except (ValidationError, ValueError, OSError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
+    except PySparkException as e:
+        # an error in a task arrives with the worker's stack; its cause is the last line that names an exception
+        causes = re.findall(r"^\s*[\w.]*(?:Error|Exception): .+$", str(e), re.M)
+        print(f"Error: {(causes or [str(e)])[-1].strip()}", file=sys.stderr)
+        return 1
 
 
 if __name__ == "__main__":

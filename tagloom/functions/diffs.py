@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 PAIR_LIMIT, BYTE_LIMIT = 10_000, 65_536
 _HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -15,13 +14,58 @@ class DiffError(ValueError):
     """A diff that can't be read, or that leaves the repository."""
 
 
+def _snake(old: str, new: str) -> tuple[int, int] | None:
+    """A point on a shortest edit path of two lines with different ends: where the searches from both ends meet."""
+    n, m = len(old), len(new)
+    delta = n - m
+    odd = delta % 2 == 1
+    ahead, back = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(d, -d - 1, -2):
+            x = ahead.get(k + 1, 0) if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+            y = x - k
+            begin = (x, y)
+            while x < n and 0 <= y < m and old[x] == new[y]:
+                x, y = x + 1, y + 1
+            ahead[k] = x
+            if odd and abs(k - delta) <= d - 1 and x + back[delta - k] >= n:
+                return begin
+        for k in range(d, -d - 1, -2):
+            x = back.get(k + 1, 0) if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            y = x - k
+            while x < n and 0 <= y < m and old[n - 1 - x] == new[m - 1 - y]:
+                x, y = x + 1, y + 1
+            back[k] = x
+            if not odd and abs(k - delta) <= d and x + ahead[delta - k] >= n:
+                return n - x, m - y
+    return None
+
+
 def opcodes(old: str, new: str) -> list[tuple[str, int, int, int, int]]:
-    """Edit script of two lines; equal ends are set apart first."""
-    n = min(len(old), len(new))
-    head = next((i for i in range(n) if old[i] != new[i]), n)
-    tail = next((i for i in range(n - head) if old[len(old) - 1 - i] != new[len(new) - 1 - i]), n - head)
-    middle = SequenceMatcher(None, old[head : len(old) - tail], new[head : len(new) - tail], autojunk=False)
-    return [(k, a + head, b + head, c + head, d + head) for k, a, b, c, d in middle.get_opcodes() if k != "equal"]
+    """A minimal edit script of two lines, by Myers' algorithm in linear space; what is deleted and inserted in one place is a replacement."""
+    script: list[list[int]] = []  # runs of changes, as spans of old and new
+
+    def changed(a: int, b: int, c: int, d: int) -> None:
+        if script and script[-1][1] == a and script[-1][3] == c:
+            script[-1][1], script[-1][3] = b, d
+        else:
+            script.append([a, b, c, d])
+
+    todo = [(0, len(old), 0, len(new))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and old[a] == new[c]:
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+        if a == b or c == d:
+            if a < b or c < d:
+                changed(a, b, c, d)
+        elif (at := _snake(old[a:b], new[c:d])) is None or at in ((0, 0), (b - a, d - c)):
+            changed(a, b, c, d)
+        else:
+            todo += [(a + at[0], b, c + at[1], d), (a, a + at[0], c, c + at[1])]
+    return [("replace" if a < b and c < d else "delete" if a < b else "insert", a, b, c, d) for a, b, c, d in script]
 
 
 def ratio(old: str, new: str) -> float:
@@ -86,10 +130,14 @@ def _path(raw: str) -> str:
 
 
 def changes(text: str) -> dict[str, list[tuple[int, Ranges | None]]]:
-    """For each file that exists after the diff its changes: (line, ranges, or None for the whole line)."""
+    """For each file that exists after the diff its changes: (line, ranges, or None for the whole line).
+
+    A file whose one hunk has nothing on the new side is gone or empty; either way it has no changes.
+    """
     out: dict[str, list[tuple[int, Ranges | None]]] = {}
     lines = text.split("\n")
     at, found, source = 0, None, ""
+    hunks: dict[str, list[tuple[int, int]]] = {}
     while at < len(lines):
         line = lines[at]
         at += 1
@@ -103,9 +151,12 @@ def changes(text: str) -> dict[str, list[tuple[int, Ranges | None]]]:
                 if path.startswith("/") or ".." in path.split("/"):
                     raise DiffError(f'diff target path "{path}" escapes the repository root folder')
                 found = out.setdefault(path, [])
+                own = hunks.setdefault(path, [])
         elif (m := _HUNK.match(line)) and (found is not None or source):
             left, right = (1 if m[k] is None else int(m[k]) for k in (2, 4))
             target = int(m[3])
+            if found is not None:
+                own.append((target, right))
             last = target if right == 0 else max(target - 1, 0)
             removed: list[str] = []
             added: list[tuple[int, str]] = []
@@ -131,4 +182,4 @@ def changes(text: str) -> dict[str, list[tuple[int, Ranges | None]]]:
                     if found and found[-1][0] > n:
                         raise DiffError(f"diff hunks are out of order: a change at line {n} follows a change at line {found[-1][0]}")
                     found.append((n, ranges))
-    return out
+    return {path: got for path, got in out.items() if hunks[path] != [(0, 0)]}

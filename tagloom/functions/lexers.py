@@ -13,6 +13,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 Blank = Callable[[bytes], bytes | None]
 
@@ -98,11 +99,16 @@ def _hash(*skips: bytes, mark: bytes = HASH, proc: Blank = HASHED) -> Format:
     return Format(((mark, proc),), skips)
 
 
+@lru_cache(maxsize=None)
+def _token(comments: tuple[bytes, ...], skips: tuple[bytes, ...]) -> re.Pattern[bytes]:
+    """One pattern of all tokens of a format, made once in a process."""
+    marks = [b"(?P<c%d>%s)" % (i, p) for i, p in enumerate(comments)]
+    return re.compile(b"|".join(marks + [b"(?P<s%d>%s)" % (i, p) for i, p in enumerate(skips)]), re.S | re.M)
+
+
 def scan(fmt: Format, src: bytes) -> list[tuple[int, int, bytes]]:
     """(start, end, text) of all comments of a format without a lexer of its own, in order."""
-    skips = [b"(?P<s%d>%s)" % (i, p) for i, p in enumerate(fmt.skips)]
-    marks = [b"(?P<c%d>%s)" % (i, p) for i, (p, _) in enumerate(fmt.comments)]
-    token = re.compile(b"|".join(marks + skips), re.S | re.M)
+    token = _token(tuple(p for p, _ in fmt.comments), fmt.skips)
     out, at = [], 0
     while m := token.search(src, at):
         kind, start, end = m.lastgroup, m.start(), m.end()
@@ -259,6 +265,11 @@ def _yaml(src: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def _dockerfile(src: bytes) -> list[tuple[int, int, bytes]]:
+    """Lines that begin with a hash; a comment holds its line break."""
+    return [(m.start(1), m.end(1), HASHED(m[1])) for m in re.compile(rb"^[ \t]*(#[^\n]*\n?)", re.M).finditer(src)]
+
+
 RUST_LINE = rb"//(?:(?:/(?!/)|!)[^\n]*\n?|[^\n]*)"
 JS = Format(((SLASHES, prefix(b"//")), (BLOCK, starred), (rb"<!--[^\n]*|^[ \t]*-->[^\n]*", prefix(b"<!--", b"-->"))), (DQ, SQ, TEMPLATE, REGEX))
 
@@ -280,7 +291,7 @@ FORMATS: dict[str, Format] = {
     "cpp": _c(rb'R"(?P<d>[^\s()\\]{0,16})\(.*?\)(?P=d)"', DQ, CHAR, lines=SLASHES_JOINED),
     "css": Format(((BLOCK, starred),), (DQ, SQ, rb"url\([^)\"'\n]*\)")),
     "dart": _c(rb"r'[^'\n]*'", rb'r"[^"\n]*"', DQ3, SQ3, DQ, SQ, line=DOC, nested=True),
-    "dockerfile": _hash(mark=rb"(?<=\n)[ \t]*#[^\n]*|\A[ \t]*#[^\n]*", proc=lambda c: c.replace(b"#", b" ", 1)),
+    "dockerfile": Format((), own=_dockerfile),
     "elixir": _hash(DQ3, SQ3, rb"~[a-zA-Z]\"\"\".*?\"\"\"", rb"~[rswcRSWC](?:/(?:\\.|[^/\\])*/|\((?:\\.|[^)\\])*\)|\[[^\]]*\]|\{[^}]*\}|\|[^|]*\|)", DQ_LINES, SQ, rb"\?#"),
     "go": _c(TICK, DQ, CHAR),
     "graphql": _hash(DQ3, DQ),
@@ -354,6 +365,16 @@ EXTENSIONS: dict[str, str] = {
 }
 
 
+def format_name(path: str, remap: dict[str, str] | None = None) -> str | None:
+    """The format of a path: the shortest suffix after a dot that is known, at last the whole name; None if none is."""
+    parts = path.rsplit("/", 1)[-1].split(".")
+    for k in range(len(parts) - 1, -1, -1):
+        tail = ".".join(parts[k:])
+        if found := EXTENSIONS.get((remap or {}).get(tail, tail)):
+            return found
+    return None
+
+
 class Lines:
     """Positions (line, column), both from 1 and columns in bytes, of offsets in a file."""
 

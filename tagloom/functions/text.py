@@ -17,18 +17,6 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
-def leading_bytes(c: Column) -> Column:
-    """Bytes of white space at the start."""
-    return F.octet_length(F.regexp_extract(c, f"^[{SPACES}]*", 0))
-
-
-def lines(c: Column) -> Column:
-    """The lines of a text without their line breaks; a final break doesn't begin another line."""
-    parts = F.split(c, "\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))
-
-
 def glob_regex(glob: str) -> str:
     """A glob as an anchored regular expression; stars cross directory separators."""
     out, at = "", 0
@@ -69,33 +57,3 @@ def matches_any(path: Column, globs: list[str]) -> Column:
     for g in globs:
         out = out | path.rlike(glob_regex(g))
     return out
-
-
-class PatternError(ValueError):
-    """A pattern outside the linear-time dialect."""
-
-
-def python_pattern(pattern: str) -> str:
-    """A pattern of the linear-time dialect for the ``regex`` module; look-around and back-references are errors."""
-    if re.search(r"(?<!\\)(?:\\\\)*\(\?(?:[=!>]|<[=!])", pattern):
-        raise PatternError("look-around, including look-ahead and look-behind, is not supported")
-    if re.search(r"(?<!\\)(?:\\\\)*\\[1-9]|\(\?P=|\\k<", pattern):
-        raise PatternError("backreferences are not supported")
-    out = re.sub(r"(?<!\\)((?:\\\\)*)\(\?<([A-Za-z_])", r"\1(?P<\2", pattern)
-    out = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), out)
-    return re.sub(r"(?<!\\)((?:\\\\)*)\\z", r"\1\\Z", _dollar(out))
-
-
-def _dollar(pattern: str) -> str:
-    """A dollar that matches at the very end alone, unless the pattern is multi-line."""
-    if re.match(r"\(\?[a-zA-Z]*m", pattern):
-        return pattern
-    out, inside, at = "", False, 0
-    while at < len(pattern):
-        c = pattern[at]
-        if c == "\\":
-            out, at = out + pattern[at : at + 2], at + 2
-            continue
-        inside = c == "[" or inside and c != "]"
-        out, at = out + (r"\Z" if c == "$" and not inside else c), at + 1
-    return out

@@ -57,9 +57,23 @@ def extract_comments(files: DataFrame, remap: dict[str, str] | None = None) -> D
     return _with_format(files.select("path", "content"), remap).mapInArrow(run, COMMENTS)
 
 
-def extract_blocks(files: DataFrame, remap: dict[str, str] | None = None) -> DataFrame:
-    """All blocks of all files, numbered by their start in the file; a file whose tags don't pair has one row with an error."""
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` over as many tasks as there are cores, where they are stored in fewer files; more files are read as they are."""
+    stored, cores = len(files.inputFiles()), files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if 0 < stored < cores else files
+
+
+def extract_blocks(files: DataFrame, remap: dict[str, str] | None = None, having: list[str] | None = None) -> DataFrame:
+    """All blocks of all files, numbered by their start in the file; a file whose tags don't pair has one row with an error.
+
+    With ``having``, files without any of these words are passed over before they are parsed.
+    """
     tagged = _with_format(files.select("path", "content"), remap).where(F.col("content").rlike(r"<\s*/?\s*block"))
+    if having is not None:
+        some = F.lit(False)
+        for word in having:
+            some = some | F.col("content").contains(word)
+        tagged = tagged.where(some)
 
     def run(batches):
         for batch in batches:

@@ -1,9 +1,7 @@
 """The checks, each a function from blocks in context to a table of violations.
 
-A block's lines are an array in its own row, and order, patterns and counts are decided
-by expressions inside the row, without a shuffle; repeated lines are, too, and only a
-block that has some is exploded to find the first. Only patterns go to Python, in Arrow
-batches. References between blocks are a hash anti-join.
+Those that a block decides alone are one pass of their own; references between blocks are a
+hash anti-join; a model's or a script's verdict is asked for in Arrow batches.
 
 What makes a whole run fail (a bad pattern, a bad option) is a row with ``error`` set.
 """
@@ -16,20 +14,17 @@ import urllib.request
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
-import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import PY_SPACES, PatternError, leading_bytes, lines, python_pattern, trimmed
+from ..functions.patterns import linear
+from ..functions.text import PY_SPACES, trimmed
+from .local import SEVERITIES, local_checks
 from .schemas import UNNAMED
 
-SEVERITIES = {"error": 1, "warning": 2, "info": 3, "hint": 4}
 _KEY = ["path", "ordinal"]
 _BASE = [*_KEY, "attrs", "tag_start", "tag_end", "content", "is_content_modified"]
-_VALUE = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
-_VALUES = T.StructType([T.StructField("error", T.StringType()), T.StructField("found", T.ArrayType(_VALUE))])
 
 
 def attr(name: str) -> Column:
@@ -56,11 +51,6 @@ def _with(blocks: DataFrame, name: str) -> DataFrame:
     return blocks.where(F.map_contains_key("attrs", F.lit(name))).select(*_BASE)
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """``rows`` with a column that is computed once a row: a generator keeps the optimizer from copying it into each use."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _severity() -> Column:
     raw = attr("severity")
     table = F.create_map(*(F.lit(x) for kv in SEVERITIES.items() for x in kv))
@@ -77,164 +67,24 @@ def _report(rows: DataFrame, code: str, message: Column, data: Column | None, st
     )
 
 
-def _position(line: Column, character: Column) -> Column:
-    return F.struct(line.cast("bigint").alias("line"), character.cast("bigint").alias("character"))
-
-
-def _hit_line() -> Column:
-    # lines are counted from the start tag, whatever line the content begins on
-    return F.col("tag_start.line") + F.col("hit.idx")
-
-
-def _plain_values() -> Column:
-    """The non-blank lines, trimmed, with their byte columns."""
-    one = lambda l, i: F.struct(i.alias("idx"), trimmed(l).alias("value"), (leading_bytes(l) + 1).cast("bigint").alias("s"), (leading_bytes(l) + F.octet_length(trimmed(l))).cast("bigint").alias("e"))
-    return F.filter(F.transform(lines(F.col("content")), one), lambda v: v["value"] != "")
-
-
-@F.pandas_udf(_VALUES)
-def _pattern_values(content: pd.Series, pattern: pd.Series) -> pd.DataFrame:
-    """Per line the pattern's group ``value``, else its whole match, with byte columns."""
-    compiled: dict[str, Any] = {}
-    errors, found = [], []
-    for text, p in zip(content, pattern):
-        if p not in compiled:
-            try:
-                compiled[p] = regex.compile(python_pattern(p))
-            except (regex.error, PatternError) as e:
-                compiled[p] = str(e)
-        rows = [x.removesuffix("\r") for x in text.split("\n")]
-        rows = rows[:-1] if rows[-1] == "" else rows
-        bad = isinstance(compiled[p], str)
-        errors.append(compiled[p] if bad and rows else None)
-        got = []
-        for i, row in enumerate([] if bad else rows):
-            if m := compiled[p].search(row):
-                group = "value" if "value" in m.re.groupindex and m["value"] is not None else 0
-                got.append({"idx": i, "value": m[group], "s": len(row[: m.start(group)].encode()) + 1, "e": len(row[: m.end(group)].encode())})
-        found.append(got)
-    return pd.DataFrame({"error": errors, "found": found})
-
-
-def _values(rows: DataFrame, option: str) -> DataFrame:
-    """``rows`` with pattern_error and found; blocks without a pattern stay out of Python."""
-    pattern = F.coalesce(attr(option), F.lit(""))
-    plain = _once(rows.where(pattern == "").withColumn("pattern_error", F.lit(None).cast("string")), "found", _plain_values())
-    matched = rows.where(pattern != "").withColumn("got", _pattern_values("content", pattern))
-    return plain.unionByName(matched.withColumn("pattern_error", F.col("got.error")).withColumn("found", F.col("got.found")).drop("got"))
-
-
-_NUMBER = r"(?i)^[+-]?(inf|infinity|nan|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)$"
-
-
-def _number(v: Column) -> Column:
-    """A sort key in the total order of doubles; null for what isn't a number."""
-    x = v.try_cast("double")
-    minus = v.startswith("-")
-    zone = F.when(F.isnan(x), F.when(minus, -1).otherwise(1)).otherwise(0)
-    key = F.struct(zone.alias("zone"), F.when(F.isnan(x), F.lit(0.0)).otherwise(x).alias("x"), F.when((x == 0) & minus, 0).otherwise(1).alias("sign"))
-    return F.when(v.rlike(_NUMBER), key)
-
-
 def keep_sorted(blocks: DataFrame) -> DataFrame:
     """First line of a block that isn't in order after the last comparable one before it."""
-    option, fmt = attr("keep-sorted"), F.lower(trimmed(F.coalesce(attr("keep-sorted-format"), F.lit(""))))
-    rows = _with(blocks, "keep-sorted")
-    rows = rows.withColumn("order", F.when(trimmed(option) == "", F.lit("asc")).otherwise(F.lower(option)))
-    rows = _values(rows, "keep-sorted-pattern")
-    wrong = ~F.col("order").isin("asc", "desc")
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    fatal = (
-        F.when(wrong, _at(F.lit("keep-sorted expected values are "), F.lit(" or ".join(f'"{x}"' for x in ("asc", "desc"))), F.lit(", got "), quoted(option)))
-        .when(~fmt.isin("", "lexicographic", "numeric"), _at(F.lit("keep-sorted-format has an unsupported value "), quoted(trimmed(attr("keep-sorted-format")))))
-        .when(F.col("pattern_error").isNotNull(), F.concat(F.lit("Invalid keep-sorted-pattern expression in block "), _where(), F.lit(" defined at line "), _line(), F.lit(": "), F.col("pattern_error")))
-    )
-    f, n = F.col("found"), F.size("found")
-    asc = F.col("order") == "asc"
-
-    def pair(z: Column) -> Column:
-        before, at = z["before"], z["at"]
-        a, b = before["value"], at["value"]
-        x, y = _number(a), _number(b)
-        bad = F.when(fmt == "numeric", F.when(x.isNull(), a).when(y.isNull(), b))
-        out = F.when(fmt == "numeric", F.when(asc, x > y).otherwise(x < y)).otherwise(F.when(asc, a > b).otherwise(a < b))
-        return F.struct(at["idx"].alias("idx"), at["s"].alias("s"), at["e"].alias("e"), bad.alias("bad"), F.coalesce(out, F.lit(False)).alias("out"))
-
-    # neighbours are zipped, since looking lines up by number would compute them anew for each pair
-    last = F.greatest(n - 1, F.lit(0))
-    pairs = F.transform(F.arrays_zip(F.slice(f, 1, last).alias("before"), F.slice(f, 2, last).alias("at")), pair)
-    rows = _once(rows.withColumn("fatal", fatal), "hit", F.get(F.filter(pairs, lambda p: p["out"] | p["bad"].isNotNull()), F.lit(0)))
-    number = F.concat(F.lit("in block "), _where(), F.lit(" defined at line "), _line(), F.lit(": "), quoted(F.col("hit.bad")), F.lit(" is not a valid number"))
-    rows = rows.withColumn("fatal", F.coalesce("fatal", F.when(F.col("hit.bad").isNotNull(), number))).where("fatal is not null or hit is not null")
-    message = _block_at(F.lit(" has an out-of-order line "), _hit_line().cast("string"), F.lit(" ("), F.col("order"), F.lit(")"))
-    return _report(rows, "keep-sorted", message, F.to_json(F.struct(F.col("order").alias("order_by"))), _position(_hit_line(), F.col("hit.s")), _position(_hit_line(), F.col("hit.e")))
+    return local_checks(blocks, ["keep-sorted"])
 
 
 def keep_unique(blocks: DataFrame) -> DataFrame:
     """First line of a block whose value an earlier line has."""
-    rows = _values(_with(blocks, "keep-unique"), "keep-unique")
-    fatal = F.when(F.col("pattern_error").isNotNull(), F.concat(F.lit("Invalid keep-unique regex pattern for block "), _where(), F.lit(" defined at line "), _line(), F.lit(": "), F.col("pattern_error")))
-    rows = rows.withColumn("fatal", fatal)
-    repeated = F.size(F.array_distinct(F.transform("found", lambda v: v["value"]))) < F.size("found")
-    w = Window.partitionBy(*_KEY, "v.value").orderBy("v.idx")
-    again = rows.where(F.col("fatal").isNull() & repeated).select(*_KEY, F.explode("found").alias("v")).withColumn("n", F.row_number().over(w)).where("n > 1")
-    first = again.groupBy(*_KEY).agg(F.min_by("v", "v.idx").alias("hit"))
-    rows = rows.where(F.col("fatal").isNotNull() | repeated).join(first, _KEY, "left")
-    message = _block_at(F.lit(" has a duplicated line "), _hit_line().cast("string"))
-    return _report(rows, "keep-unique", message, None, _position(_hit_line(), F.col("hit.s")), _position(_hit_line(), F.col("hit.e")))
-
-
-@F.pandas_udf(_VALUES)
-def _mismatch(content: pd.Series, pattern: pd.Series) -> pd.DataFrame:
-    """The first non-blank trimmed line in which the pattern isn't found."""
-    compiled: dict[str, Any] = {}
-    errors, found = [], []
-    for text, p in zip(content, pattern):
-        if p not in compiled:
-            try:
-                compiled[p] = regex.compile(python_pattern(p))
-            except (regex.error, PatternError) as e:
-                compiled[p] = str(e)
-        errors.append(compiled[p] if isinstance(compiled[p], str) else None)
-        got = []
-        for i, row in enumerate([] if errors[-1] is not None else text.split("\n")):
-            row = row.removesuffix("\r")
-            bare = row.strip(PY_SPACES)
-            if bare and not compiled[p].search(bare):
-                lead = len(row[: len(row) - len(row.lstrip(PY_SPACES))].encode())
-                got.append({"idx": i, "value": bare, "s": lead + 1, "e": lead + len(bare.encode())})
-                break
-        found.append(got)
-    return pd.DataFrame({"error": errors, "found": found})
+    return local_checks(blocks, ["keep-unique"])
 
 
 def line_pattern(blocks: DataFrame) -> DataFrame:
     """First non-blank line of a block in which the pattern isn't found."""
-    pattern = attr("line-pattern")
-    rows = _with(blocks, "line-pattern").withColumn("got", _mismatch("content", pattern)).withColumn("hit", F.get("got.found", F.lit(0)))
-    bad = F.concat(_at(F.lit('line-pattern expected a valid regular expression, got "'), pattern, F.lit('"')), F.lit(" (error: "), F.col("got.error"), F.lit(")"))
-    rows = rows.withColumn("fatal", F.when(F.col("got.error").isNotNull(), bad)).where("fatal is not null or hit is not null")
-    message = _block_at(F.lit(" has a non-matching line "), _hit_line().cast("string"), F.lit(" (pattern: /"), pattern, F.lit("/)"))
-    return _report(rows, "line-pattern", message, F.to_json(F.struct(pattern.alias("pattern"))), _position(_hit_line(), F.col("hit.s")), _position(_hit_line(), F.col("hit.e")))
+    return local_checks(blocks, ["line-pattern"])
 
 
 def line_count(blocks: DataFrame) -> DataFrame:
     """Blocks whose number of non-blank lines doesn't satisfy the comparison."""
-    raw = attr("line-count")
-    bare = trimmed(raw)
-    op = F.regexp_extract(bare, "^(<=|>=|==|<|>)", 1)
-    rest = trimmed(F.substring(bare, F.length(op) + 1, F.length(bare)))
-    expected = F.when(rest.rlike(r"^\+?[0-9]{1,18}$"), rest.try_cast("bigint"))
-    why = F.when(op == "", F.lit("missing comparator")).when(rest == "", F.lit("missing number")).when(expected.isNull(), F.lit("invalid number"))
-    actual = F.size(F.filter(lines(F.col("content")), lambda x: trimmed(x) != "")).cast("bigint")
-    rows = _once(_with(blocks, "line-count"), "actual", actual)
-    bad = F.concat(_at(F.lit("line-count expected a comparator like "), F.lit(", ".join(f"{x}N" for x in ("<", "<=", "==", ">=", ">"))), F.lit('; got "'), raw, F.lit('"')), F.lit(" (error: "), why, F.lit(")"))
-    a = F.col("actual")
-    ok = F.when(op == "<", a < expected).when(op == "<=", a <= expected).when(op == "==", a == expected).when(op == ">=", a >= expected).otherwise(a > expected)
-    rows = rows.withColumn("fatal", F.when(why.isNotNull(), bad)).where(F.col("fatal").isNotNull() | ~ok)
-    message = _block_at(F.lit(" has "), a.cast("string"), F.lit(" lines, which does not satisfy "), op, expected.cast("string"))
-    data = F.to_json(F.struct(a, op.alias("op"), expected.alias("expected")))
-    return _report(rows, "line-count", message, data, F.col("tag_start"), F.col("tag_end"))
+    return local_checks(blocks, ["line-count"])
 
 
 def references(blocks: DataFrame) -> DataFrame:
@@ -247,11 +97,11 @@ def references(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("fatal", F.when(~ref.contains(":"), bad)).withColumn("ref_file", F.when(file == "", F.col("path")).otherwise(file)).withColumn("ref_name", trimmed(F.get(parts, F.lit(1)))).drop("raw")
 
 
-def affects(blocks: DataFrame) -> DataFrame:
-    """References of modified blocks to blocks that aren't modified."""
-    modified = blocks.where("is_content_modified")
-    named = modified.select(F.col("path").alias("ref_file"), attr("name").alias("ref_name")).where("ref_name is not null").distinct()
-    rows = references(modified)
+def affects(blocks: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """References of modified blocks to blocks that aren't modified; ``named`` has the blocks that may be referred to, if they aren't ``blocks``."""
+    named = (blocks if named is None else named).where("is_content_modified")
+    named = named.select(F.col("path").alias("ref_file"), attr("name").alias("ref_name")).where("ref_name is not null").distinct()
+    rows = references(blocks.where("is_content_modified"))
     loose = rows.where("fatal is null").join(named, ["ref_file", "ref_name"], "left_anti").unionByName(rows.where("fatal is not null"))
     message = F.concat(F.lit("Block "), _where(), F.lit(" at line "), _line(), F.lit(" is modified, but "), F.col("ref_file"), F.lit(":"), F.col("ref_name"), F.lit(" is not"))
     data = F.to_json(F.struct(F.col("ref_file").alias("affected_block_file_path"), F.col("ref_name").alias("affected_block_name")))
@@ -274,55 +124,54 @@ def _selected(text: str, pattern: str | None, option: str) -> str:
     """What a check sees: the pattern's first match in the content, else the trimmed content."""
     if pattern is None:
         return text.strip(PY_SPACES)
-    try:
-        m = regex.search(python_pattern(pattern), text)
-    except (regex.error, PatternError) as e:
-        raise ValueError(f"{option}-pattern is not a valid regex: {e}") from e
-    if not m:
-        return ""
-    return m["value"] if "value" in m.re.groupindex and m["value"] is not None else m[0]
+    compiled = linear(pattern)
+    if isinstance(compiled, str):
+        raise ValueError(f"{option}-pattern is not a valid regex: {compiled}")
+    return compiled.selected(text)
 
 
-def _run_checks(rows: DataFrame, option: str, check: Checker) -> DataFrame:
-    """``rows`` with verdict and fatal from a callable, called in Python for each block."""
+def _run_checks(rows: DataFrame, option: str, check: Checker, empty: str, failed: str) -> DataFrame:
+    """``rows`` with verdict and fatal from a callable, called in Python for each block whose option isn't blank."""
 
     def run(batches):
         for pdf in batches:
             verdicts, failures = [], []
             for r in pdf.itertuples():
                 attrs = dict(r.attrs)
+                at = f" in {r.path}:{attrs.get('name', UNNAMED)} at line {r.tag_line}"
                 ctx = {"file": r.path, "line": r.tag_line, "attrs": attrs}
                 if "affects" in attrs:
                     ctx["affects"] = [] if r.affected is None else [e.asDict() if hasattr(e, "asDict") else dict(e) for e in r.affected]
                 verdict = failure = None
-                try:
-                    verdict = check(ctx, _selected(r.content, attrs.get(f"{option}-pattern"), option))
-                    if verdict is not None and not isinstance(verdict, str):
-                        raise TypeError(f"validate() must return nil or a string, got: {type(verdict).__name__}")
-                except Exception as e:  # whatever a user's check raises ends the run with its message
-                    verdict, failure = None, f"{type(e).__name__}: {e}"
+                if not attrs[option].strip(PY_SPACES):
+                    failure = empty + at
+                else:
+                    try:
+                        verdict = check(ctx, _selected(r.content, attrs.get(f"{option}-pattern"), option))
+                        if verdict is not None and not isinstance(verdict, str):
+                            raise TypeError(f"validate() must return nil or a string, got: {type(verdict).__name__}")
+                    except Exception as e:  # whatever a user's check raises ends the run with its message
+                        verdict, failure = None, f"{failed}{at}: {type(e).__name__}: {e}"
                 verdicts.append(verdict)
                 failures.append(failure)
-            yield pdf.drop(columns=["tag_line"]).assign(verdict=verdicts, failure=failures)
+            yield pdf.drop(columns=["tag_line"]).assign(verdict=verdicts, fatal=failures)
 
-    keep = [f for f in rows.schema.fields]
-    schema = T.StructType([*keep, T.StructField("verdict", T.StringType()), T.StructField("failure", T.StringType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("verdict", T.StringType()), T.StructField("fatal", T.StringType())])
     return rows.withColumn("tag_line", F.col("tag_start.line")).mapInPandas(run, schema)
 
 
-def _external(blocks: DataFrame, option: str, label: str, check: Checker, empty: str, failed: str, data: Callable[[], Column]) -> DataFrame:
-    rows = _with(blocks, option).join(affected_blocks(blocks), _KEY, "left")
-    blankish = trimmed(attr(option)) == ""
-    none = rows.where(blankish).withColumn("verdict", F.lit(None).cast("string")).withColumn("fatal", _at(F.lit(empty)))
-    ran = _run_checks(rows.where(~blankish), option, check)
-    ran = ran.withColumn("fatal", F.when(F.col("failure").isNotNull(), F.concat(_at(F.lit(failed)), F.lit(": "), F.col("failure")))).drop("failure")
-    out = none.unionByName(ran).where("fatal is not null or verdict is not null")
+def _external(blocks: DataFrame, option: str, label: str, check: Checker, empty: str, failed: str, data: Callable[[], Column], context: DataFrame | None) -> DataFrame:
+    rows = _with(blocks, option).join(affected_blocks(blocks if context is None else context), _KEY, "left")
+    out = _run_checks(rows, option, check, empty, failed).where("fatal is not null or verdict is not null")
     message = _block_at(F.lit(f" failed {label} check: "), F.col("verdict"))
     return _report(out, option, message, data(), F.col("tag_start"), F.col("tag_end"))
 
 
-def check_ai(blocks: DataFrame, client: Callable[[str, str], str]) -> DataFrame:
-    """Blocks that a model finds in breach of the condition in ``check-ai``; ``client`` takes condition and content."""
+def check_ai(blocks: DataFrame, client: Callable[[str, str], str], context: DataFrame | None = None) -> DataFrame:
+    """Blocks that a model finds in breach of the condition in ``check-ai``; ``client`` takes condition and content.
+
+    ``context`` has the blocks that references lead from and to, if they aren't ``blocks``.
+    """
 
     def check(ctx: dict, content: str) -> str | None:
         answer = client(ctx["attrs"]["check-ai"], content)
@@ -331,10 +180,10 @@ def check_ai(blocks: DataFrame, client: Callable[[str, str], str]) -> DataFrame:
         return None if answer.strip().lower() in ("ok", "ok.") else answer
 
     data = lambda: F.to_json(F.struct(attr("check-ai").alias("condition"), F.col("verdict").alias("ai_message")))
-    return _external(blocks, "check-ai", "AI", check, "check-ai requires a non-empty condition", "check-ai API error", data)
+    return _external(blocks, "check-ai", "AI", check, "check-ai requires a non-empty condition", "check-ai API error", data, context)
 
 
-def check_script(blocks: DataFrame, scripts: dict[str, Checker]) -> DataFrame:
+def check_script(blocks: DataFrame, scripts: dict[str, Checker], context: DataFrame | None = None) -> DataFrame:
     """Blocks that a registered callable rejects; ``check-lua`` names the callable, as it would a script's path."""
 
     def check(ctx: dict, content: str) -> str | None:
@@ -344,7 +193,7 @@ def check_script(blocks: DataFrame, scripts: dict[str, Checker]) -> DataFrame:
         return scripts[name](ctx, content)
 
     data = lambda: F.to_json(F.struct(attr("check-lua").alias("script"), F.col("verdict").alias("lua_error")))
-    return _external(blocks, "check-lua", "Lua", check, "check-lua requires a non-empty script path", "check-lua script error", data)
+    return _external(blocks, "check-lua", "Lua", check, "check-lua requires a non-empty script path", "check-lua script error", data, context)
 
 
 class ChatClient:
@@ -359,8 +208,8 @@ class ChatClient:
     def __call__(self, condition: str, content: str) -> str:
         if not self.key:
             raise ValueError("the API key is empty")
-        asked = "\n".join((f"CONDITION: {condition}", "", "BLOCK (formatting preserved):", content))
-        rules = "Judge whether the block meets the condition. Answer OK if it does, else say briefly what is wrong."
+        asked = f"What must hold:\n{condition}\n\nThe text, as it stands in the file:\n{content}"
+        rules = "Judge whether the text meets the condition. Answer OK if it does, else say briefly what is wrong."
         body = {"model": self.model, "messages": [{"role": "system", "content": rules}, {"role": "user", "content": asked}]}
         request = urllib.request.Request(self.url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:

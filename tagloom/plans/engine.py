@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions.text import matches_any
 from ..operators import validators as v
 from ..operators.changes import diff_changes, mark_modified
 from ..operators.extract import extract_blocks
+from ..operators.local import LOCAL, local_checks
 from ..operators.schemas import CHANGES, UNNAMED
 
 VALIDATORS = ("affects", "keep-sorted", "keep-unique", "line-pattern", "line-count", "check-ai", "check-lua")
@@ -32,19 +34,24 @@ class Options:
     disable: list[str] = field(default_factory=list)
     ai_client: Callable[[str, str], str] | None = None
     scripts: dict[str, v.Checker] = field(default_factory=dict)
+    #: Checks of one's own by name: functions from blocks in context to violations (columns of ``VIOLATIONS``).
+    checks: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def __post_init__(self):
         if self.enable and self.disable:
-            raise ValueError("--enable and --disable " + "flags must not be set at the same time")
+            raise ValueError("--enable and --disable flags must not be set at the same time")
+        for name in self.checks:
+            if name in VALIDATORS:
+                raise ValueError(f"A check named {name} exists")
         for name in (*self.enable, *self.disable):
-            if name not in VALIDATORS:
+            if name not in VALIDATORS and name not in self.checks:
                 raise ValueError(f"Unknown validator: {name}")
         for k, x in self.extensions.items():
             if x not in EXTENSIONS:
                 raise ValueError(f"Unsupported extension mapping: {k}={x}")
 
     def names(self) -> list[str]:
-        return [n for n in VALIDATORS if (n in self.enable if self.enable else n not in self.disable)]
+        return [n for n in (*VALIDATORS, *self.checks) if (n in self.enable if self.enable else n not in self.disable)]
 
 
 def no_changes(spark: SparkSession) -> DataFrame:
@@ -60,10 +67,11 @@ def changes_of(diffs: DataFrame) -> DataFrame:
     return found.drop("error")
 
 
-def blocks_in_context(files: DataFrame, changes: DataFrame | None, options: Options) -> DataFrame:
+def blocks_in_context(files: DataFrame, changes: DataFrame | None, options: Options, having: list[str] | None = None) -> DataFrame:
     """Blocks of all scanned files, and those that a diff touches in files that only the diff names.
 
-    Files are scanned if a glob matches, or, without any glob, if there is no diff.
+    Files are scanned if a glob matches, or, without any glob, if there is no diff. With
+    ``having``, only files with any of these words are parsed.
     """
     path = F.col("path")
     files = files.where(~matches_any(path, options.ignore)) if options.ignore else files
@@ -76,7 +84,7 @@ def blocks_in_context(files: DataFrame, changes: DataFrame | None, options: Opti
         named = changes.select("path").distinct()
         rest = files.where(~scanned).join(named, "path", "left_semi")
         files = files.where(scanned).unionByName(rest) if options.globs else rest
-    marked = mark_modified(extract_blocks(files, options.extensions), changes)
+    marked = mark_modified(extract_blocks(files, options.extensions, having), changes)
     return marked.where(scanned | F.col("error").isNotNull() | F.col("is_content_modified") | F.col("is_start_tag_modified"))
 
 
@@ -88,17 +96,32 @@ def checked(blocks: DataFrame) -> DataFrame:
     return blocks.drop("error")
 
 
-def violations(blocks: DataFrame, options: Options) -> DataFrame:
-    """Union of the selected checks over blocks in context; each is a lazy plan of its own."""
-    plans = {
-        "affects": v.affects, "keep-sorted": v.keep_sorted, "keep-unique": v.keep_unique, "line-pattern": v.line_pattern, "line-count": v.line_count,
-        "check-lua": lambda b: v.check_script(b, options.scripts), "check-ai": lambda b: v.check_ai(b, options.ai_client or v.ChatClient()),
-    }
-    out = None
-    for name in options.names():
-        rows = plans[name](blocks)
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else v.line_count(blocks).where("false")
+def violations(blocks: DataFrame, options: Options, context: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Union of the selected checks over blocks in context: one pass for all that a block decides alone, and a plan for each other.
+
+    ``context`` gives the blocks of files with a word in them, for checks that need no others.
+    """
+    names = options.names()
+    of = context or (lambda word: blocks)
+    local = [n for n in names if n in LOCAL]
+    parts = [local_checks(blocks, local)] if local else []
+    if "affects" in names:
+        parts.append(v.affects(of("affects"), of("name")))
+    if "check-lua" in names:
+        parts.append(v.check_script(of("check-lua"), options.scripts, of("name")))
+    if "check-ai" in names:
+        parts.append(v.check_ai(of("check-ai"), options.ai_client or v.ChatClient(), of("name")))
+    parts += [check(blocks) for name, check in options.checks.items() if name in names]
+    return reduce(DataFrame.unionByName, parts) if parts else local_checks(blocks, [])
+
+
+def file_violations(files: DataFrame, changes: DataFrame | None, options: Options) -> DataFrame:
+    """Violations in files, without keeping their blocks: files are parsed once for what blocks decide alone, and those
+    that a reference or a verdict may concern once more. Files whose tags don't pair are passed over.
+    """
+    of = lambda having: blocks_in_context(files, changes, options, having).where("error is null").drop("error")
+    blocks = of(None if options.checks else [n for n in options.names() if n in LOCAL])
+    return violations(blocks, options, lambda word: of([word]))
 
 
 def validate(files: DataFrame, changes: DataFrame | None = None, options: Options | None = None) -> DataFrame:

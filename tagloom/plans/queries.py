@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import matches_any
 from ..operators import validators as v
 from ..operators.changes import diff_changes, mark_modified
-from ..operators.extract import extract_blocks, extract_comments, format_of
-from .engine import Options, blocks_in_context, list_blocks, report_by_path, violations
+from ..operators.extract import extract_blocks, extract_comments, format_of, spread
+from .engine import Options, file_violations, list_blocks, report_by_path, violations
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,11 +27,11 @@ def _files(rows: DataFrame, path: Column, attrs: Column | str, body: Column) ->
     """One Python file per row with one block: the tag on line 1, the body from line 2."""
     attrs = F.lit(attrs) if isinstance(attrs, str) else attrs
     text = F.concat(F.lit("# <block "), attrs, F.lit(">\n"), body, F.lit("\n# </block>\n"))
-    return rows.select(path.cast("string").alias("path"), text.alias("content"))
+    return spread(rows).select(path.cast("string").alias("path"), text.alias("content"))
 
 
-def _blocks(files: DataFrame) -> DataFrame:
-    return extract_blocks(files).where("error is null").withColumn("is_content_modified", F.lit(True))
+def _blocks(files: DataFrame, having: list[str] | None = None) -> DataFrame:
+    return extract_blocks(files, having=having).where("error is null").withColumn("is_content_modified", F.lit(True))
 
 
 def _path(prefix: str, *cols: str) -> Column:
@@ -128,8 +128,7 @@ def _order_blocks(s, d) -> DataFrame:
 
 
 def _overlap(s, d):
-    items = _t(s, d, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F'")
-    changes = items.select(_path("l", "l_orderkey").alias("path"), (F.col("l_suppkey") % 12 + 1).alias("line"), F.lit(None).cast("array<struct<s: int, e: int>>").alias("ranges"))
+    changes = _t(s, d, "lineitem").select(_path("l", "l_orderkey").alias("path"), (F.col("l_suppkey") % 12 + 1).alias("line"), F.lit(None).cast("array<struct<s: int, e: int>>").alias("ranges"))
     rows = mark_modified(_order_blocks(s, d), changes).where("is_content_modified or is_start_tag_modified")
     return rows.select(_id().alias("orderkey"), "is_content_modified", "is_start_tag_modified")
 
@@ -154,6 +153,17 @@ def _diff_similarity(s, d):
     return diff_changes(diffs).where("error is null").select(_id(0).alias("conv_id"), _id(1).alias("turn"), "line", F.size("ranges").cast("bigint").alias("n_ranges"))
 
 
+def _diff_edits(s, d):
+    """Each part's name against itself with one character changed, put in or taken out."""
+    name, n = F.col("p_name"), F.col("p_partkey") % F.length("p_name") + 1
+    head, tail = F.substring(name, F.lit(1), (n - 1).cast("int")), F.substring(name, (n + 1).cast("int"), F.length(name))
+    new = F.when(F.col("p_partkey") % 3 == 0, F.concat(head, F.lit("#"), tail)).when(F.col("p_partkey") % 3 == 1, F.concat(head, F.lit("#"), F.substring(name, n.cast("int"), F.length(name)))).otherwise(F.concat(head, tail))
+    rows = _t(s, d, "part").select("p_partkey", name.alias("old"), new.alias("new"))
+    diffs = rows.select(F.concat(F.lit("--- a/c\n+++ b/"), F.col("p_partkey"), F.lit(".py\n@@ -1,1 +1,1 @@\n-"), F.col("old"), F.lit("\n+"), F.col("new"), F.lit("\n")).alias("text"))
+    got = diff_changes(diffs).where("error is null and size(ranges) = 1")
+    return got.select(_id().alias("partkey"), "line", (F.col("ranges")[0]["e"] - F.col("ranges")[0]["s"]).cast("bigint").alias("width"), F.when(_id() % 3 < 2, F.col("ranges")[0]["s"]).cast("bigint").alias("at"))
+
+
 def _path_scope(s, d):
     rows = _t(s, d, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/x."), F.element_at(F.array(*map(F.lit, ("py", "d.ts", "txt", "html"))), (F.col("page_id") % 4 + 1).cast("int"))).alias("path"))
     rows = rows.where(matches_any(F.col("path"), ["**/*.ts", "*.py", "*.txt"]) & ~matches_any(F.col("path"), ["*7*"]))
@@ -176,18 +186,20 @@ def _report(s, d):
 
 def _all_checks(s, d):
     files = _docs(s, d, 'line-count="<=8" keep-sorted keep-unique line-pattern="^[A-Za-z]"')
-    found = violations(blocks_in_context(files, None, Options()).drop("error"), Options(disable=["check-ai", "check-lua"]))
+    found = file_violations(files, None, Options(disable=["check-ai", "check-lua"]))
     return found.groupBy("code").agg(F.count("*").alias("n"), F.sum("start.line").alias("lines"))
 
 
 def _ai(s, d):
     client = lambda condition, content: "OK." if condition in content else "no " + condition
-    rows = v.check_ai(_blocks(_docs(s, d, 'check-ai="the"')), client)
+    files = _docs(s, d, 'check-ai="the"')
+    rows = v.check_ai(_blocks(files), client, _blocks(files, ["affects"]))
     return rows.select(_id().alias("doc_id"), F.get_json_object("data", "$.ai_message").alias("said"))
 
 
 def _script(s, d):
-    rows = v.check_script(_blocks(_docs(s, d, 'check-lua="short" check-lua-pattern="[A-Z]+"')), {"short": lambda ctx, c: c if len(c) > 3 else None})
+    files = _docs(s, d, 'check-lua="short" check-lua-pattern="[A-Z]+"')
+    rows = v.check_script(_blocks(files), {"short": lambda ctx, c: c if len(c) > 3 else None}, _blocks(files, ["affects"]))
     return rows.select(_id().alias("doc_id"), F.get_json_object("data", "$.lua_error").alias("said"))
 
 
@@ -208,6 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "overlap_modified": _overlap,
         "diff_changes": _diff_changes,
         "diff_similarity": _diff_similarity,
+        "diff_edits": _diff_edits,
         "path_scope": _path_scope,
         "severity_report": _severity,
         "report_by_path": _report,
@@ -265,11 +278,13 @@ def oracle_sql() -> dict[str, str]:
             select s_suppkey as suppkey, 0::bigint as ord, 'n/' || s_nationkey || '.py' as file, n_name as content from supplier join nation on n_nationkey = s_nationkey
             union all select s_suppkey, 1, 's/' || s_suppkey || '.py', s_name from supplier""",
         "overlap_modified": """
-            with n as (select l_orderkey, count(*) as n from lineitem group by 1), c as (select l_orderkey, l_suppkey % 12 + 1 as line from lineitem where l_returnflag = 'R' and l_linestatus = 'F')
+            with n as (select l_orderkey, count(*) as n from lineitem group by 1), c as (select l_orderkey, l_suppkey % 12 + 1 as line from lineitem)
             select l_orderkey as orderkey, bool_or(line between 1 and n + 2) as is_content_modified, bool_or(line = 1) as is_start_tag_modified
             from n join c using (l_orderkey) group by 1 having bool_or(line between 1 and n + 2)""",
         "diff_changes": """
             select p_partkey as partkey, (p_size + 1 + k)::bigint as line, true as whole_line from part, (values (1), (2)) t(k) where p_size % 2 = 0 or k = 1""",
+        "diff_edits": """
+            select p_partkey as partkey, 1::bigint as line, 1::bigint as width, case when p_partkey % 3 < 2 then p_partkey % length(p_name) end::bigint as "at" from part""",
         "path_scope": r"""
             with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') || '/x.' || (['py', 'd.ts', 'txt', 'html'])[page_id % 4 + 1] as path from pages)
             select page_id, case when path like '%.py' then 'python' else 'typescript' end as format from p where (path like '%.ts' or path like '%.py') and path not like '%7%'""",

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.lexers import format_name
 from ..functions.text import glob_regex
 from ..operators.schemas import FILES
 
@@ -42,10 +43,14 @@ def contained(root: str, path: str) -> str:
 
 
 class IgnoreRules:
-    """The patterns of one ignore file; later ones win, a leading ``!`` takes back."""
+    """The patterns of one ignore file; later ones win, a leading ``!`` takes back.
 
-    def __init__(self, base: str, text: str):
+    ``base`` is the file's folder below the root of the walk; ``inner``, for a file above it, the root below the file's folder.
+    """
+
+    def __init__(self, base: str, text: str, inner: str = "."):
         self.base, self.rules = base, []
+        self.inner = "" if inner == "." else inner.replace(os.sep, "/") + "/"
         for line in text.splitlines():
             line = line.rstrip()
             if not line or line.startswith("#"):
@@ -61,13 +66,39 @@ class IgnoreRules:
             self.rules.append((re.compile(("" if anchored else "(?:.*/)?") + out + r"\Z"), folder, not keep))
 
     def decide(self, path: str, is_dir: bool) -> bool | None:
-        rel = path[len(self.base) :].lstrip("/") if self.base else path
+        rel = self.inner + (path[len(self.base) :].lstrip("/") if self.base else path)
         for rule, folder, ignored in reversed(self.rules):
             if (is_dir or not folder) and rule.match(rel):
                 return ignored
         return None
 
 
+def _lines_of(path: str) -> str:
+    if not os.path.isfile(path):
+        return ""
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return f.read()
+
+
+def _outer_rules(root: str) -> list[IgnoreRules]:
+    """What applies to a tree from outside of it: the user's ignore file, the repository's own, and those of the folders above, up to the repository's root."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    out = [IgnoreRules("", _lines_of(os.path.join(home, "git", "ignore")))]
+    try:
+        top = find_root(root)
+    except FileNotFoundError:
+        return out
+    out.append(IgnoreRules("", _lines_of(os.path.join(top, ".git", "info", "exclude")), os.path.relpath(os.path.abspath(root), top)))
+    at = top
+    for part in os.path.relpath(os.path.abspath(root), top).split(os.sep):
+        if os.path.abspath(at) == os.path.abspath(root):
+            break
+        inner = os.path.relpath(os.path.abspath(root), at)
+        out += [IgnoreRules("", _lines_of(os.path.join(at, name)), inner) for name in (".gitignore", ".ignore")]
+        at = os.path.join(at, part)
+    return out
+
+
 def walk(root: str) -> Iterator[str]:
     """Relative paths of all files that aren't hidden or ignored, in order; errors are raised."""
 
@@ -92,7 +123,7 @@ def walk(root: str) -> Iterator[str]:
             elif e.is_file():
                 yield path
 
-    yield from visit("", [])
+    yield from visit("", _outer_rules(root))
 
 
 class _Files(InputPartition):
@@ -106,11 +137,13 @@ class _Reader(DataSourceReader):
         self.globs = [g for g in options.get("globs", "").split("\n") if g]
         self.ignore = [g for g in options.get("ignore", "").split("\n") if g]
         self.only = options.get("only")
+        self.remap = dict(x.split("=", 1) for x in options.get("extensions", "").split("\n") if x) if "extensions" in options else None
 
     def partitions(self):
         allow, deny = ([re.compile(glob_regex(g)) for g in gs] for gs in (self.globs, self.ignore))
         paths = self.only.split("\n") if self.only is not None else walk(self.root)
-        kept = [p for p in paths if p and (not allow or any(g.search(p) for g in allow)) and not any(g.search(p) for g in deny)]
+        known = (lambda p: format_name(p, self.remap)) if self.remap is not None else bool
+        kept = [p for p in paths if p and known(p) and (not allow or any(g.search(p) for g in allow)) and not any(g.search(p) for g in deny)]
         return [_Files(kept[i : i + FILES_PER_TASK]) for i in range(0, len(kept), FILES_PER_TASK)] or [_Files([])]
 
     def read(self, partition):
@@ -120,7 +153,10 @@ class _Reader(DataSourceReader):
 
 
 class RepoFiles(DataSource):
-    """``spark.read.format("repo_files").load(root)``, with options globs, ignore and only (paths), one a line."""
+    """``spark.read.format("repo_files").load(root)``, with options globs, ignore, only (paths) and extensions, one a line.
+
+    With ``extensions`` (``KEY=VALUE``, or empty), files without a known format aren't opened.
+    """
 
     @classmethod
     def name(cls):
@@ -133,10 +169,11 @@ class RepoFiles(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_repo(spark: SparkSession, root: str, globs: list[str] | None = None, ignore: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
-    """path, content of the files of a tree, or of ``paths`` alone; path filters apply before anything is read."""
+def read_repo(spark: SparkSession, root: str, globs: list[str] | None = None, ignore: list[str] | None = None, paths: list[str] | None = None, extensions: dict[str, str] | None = None) -> DataFrame:
+    """path, content of the files of a tree, or of ``paths`` alone, that have a known format; all of this is decided before anything is read."""
     spark.dataSource.register(RepoFiles)
     reader = spark.read.format("repo_files").option("globs", "\n".join(globs or [])).option("ignore", "\n".join(ignore or []))
+    reader = reader.option("extensions", "\n".join(f"{k}={v}" for k, v in (extensions or {}).items()))
     return (reader.option("only", "\n".join(paths)) if paths is not None else reader).load(root)
 
 

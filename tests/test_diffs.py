@@ -1,8 +1,10 @@
 """Unified diffs, and the ranges of changed characters."""
 
+import random
+
 import pytest
 
-from tagloom.functions.diffs import DiffError, align, changed_ranges, changes, merged
+from tagloom.functions.diffs import DiffError, align, changed_ranges, changes, merged, opcodes, ratio
 
 
 @pytest.mark.parametrize(
@@ -17,6 +19,37 @@ def test_changed_ranges(old, new, expected):
     assert changed_ranges(old, new) == expected
 
 
+def common(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+    return row[-1]
+
+
+def test_edit_scripts_are_minimal_and_lead_from_old_to_new():
+    rng = random.Random(1)
+    pairs = [("".join(rng.choice("ab c") for _ in range(rng.randint(0, 30))), "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))) for _ in range(400)]
+    pairs += [("x = 1 + 2 * y", "y = x * 2 + 1"), ("", ""), ("", "a"), ("a", "")]
+    for old, new in pairs:
+        script = opcodes(old, new)
+        out, at = "", 0
+        for kind, a, b, c, d in script:
+            assert (a < b) == (kind != "insert") and (c < d) == (kind != "delete")
+            out += old[at:a] + new[c:d]
+            at = b
+        assert out + old[at:] == new
+        assert len(old) - sum(b - a for _, a, b, _, _ in script) == common(old, new)
+        assert old == new == "" or ratio(old, new) == 2 * common(old, new) / (len(old) + len(new))
+
+
+def test_emptied_files_are_as_removed_ones():
+    assert changes("--- a/gone.py\n+++ b/gone.py\n@@ -1,4 +0,0 @@\n-a\n-b\n-c\n-d\n--- a/x\n+++ b/x\n@@ -1,1 +1,1 @@\n-a\n+b\n") == {"x": [(1, [(0, 1)])]}
+    assert changes(diff("f", "@@ -5,2 +4,0 @@\n-a\n-b\n")) == {"f": [(5, None)]}
+
+
 def test_merging():
     assert merged([(6, 8), (1, 2), (8, 10), (3, 4)]) == [(1, 2), (3, 4), (6, 10)]
 

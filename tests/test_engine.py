@@ -3,18 +3,20 @@
 import io
 import json
 import os
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom import cli
-from tagloom.functions.text import PatternError, glob_regex, lines, python_pattern, trimmed
+from tagloom.functions.patterns import Linear, PatternError, linear
+from tagloom.functions.text import glob_regex, trimmed
 from tagloom.operators import validators as v
 from tagloom.operators.changes import mark_modified
 from tagloom.operators.extract import extract_blocks, extract_comments, format_of
 from tagloom.plans import queries
-from tagloom.plans.engine import VALIDATORS, Options, ValidationError, changes_of, has_errors, list_blocks, listing, report, validate
+from tagloom.plans.engine import VALIDATORS, Options, ValidationError, changes_of, file_violations, has_errors, list_blocks, listing, report, validate
 from tagloom.sources.repo import contained, diff_text, find_root, in_memory, read_diff, read_repo, walk
 from tagloom.streaming.diffs import validate_stream
 
@@ -212,25 +214,54 @@ def test_globs(glob, yes, no):
 
 
 def test_patterns():
-    import regex
-
-    assert regex.search(python_pattern("(?<value>a)$"), "a") and not regex.search(python_pattern("a$"), "a\n")
-    assert regex.search(python_pattern(r"[$]\$"), "$$") and regex.search(python_pattern(r"\x{41}\pL"), "AB")
-    for p in ("(?=a)", "(?<!a)b", r"(a)\1", "(?P=x)"):
+    texts = ["é", "a", "5", "-", "É", "_", "ab5", " ", "Ω", "a\n"]
+    found = lambda p: [t for t, f in zip(texts, Linear(p).found_in(texts)) if f]
+    assert found(r"^[\w--\d]$") == ["é", "a", "É", "_", "Ω"] and found(r"^[a-z&&[^b]]$") == ["a"] and found(r"[\w&&[^\d_]]") == ["é", "a", "É", "ab5", "Ω", "a\n"]
+    assert found(r"\p{Alphabetic}") == ["é", "a", "É", "ab5", "Ω", "a\n"] and found(r"[\p{Greek}~~a]") == ["a", "ab5", "Ω", "a\n"]
+    assert found(r"^[^\W\d]$") == ["é", "a", "É", "_", "Ω"] and found(r"\u{e9}") == ["é"] and found("a$") == ["a"] and found(r"[]-]") == ["-"]
+    assert Linear(r"no: (?<value>\d+)").spans(["é no: 10", "x"]) == [(7, 9), None] and Linear(r"(n)o: (?P<value>\d+)?").selected("no: x") == "no: "
+    for p in ("(?=a)", "(?<!a)b", r"(a)\1", "[", "(", "[b-a&&a]"):
         with pytest.raises(PatternError):
-            python_pattern(p)
+            Linear(p)
+    assert isinstance(linear("("), str)
+    began = time.process_time()
+    assert Linear("^(a|aa)+$").found_in(["a" * 200_000 + "b"]) == [False] and time.process_time() - began < 2
+
+
+def test_trimming(spark):
+    assert spark.createDataFrame([("　 a \r\n\nb\r\n",)], "t string").select(trimmed(F.col("t"))).first()[0] == "a \r\n\nb"
+
+
+def test_carriage_returns_are_no_part_of_lines(spark):
+    got = run(spark, '# <block keep-unique="[a-z ]+">\r\n a\r\nb\r\n a\r\n# </block>\r\n', enable=["keep-unique"])
+    assert [span(d) for d in got] == [(4, 1, 4, 2)]
+
 
+def test_checks_of_ones_own(spark):
+    def named(blocks):
+        bare = blocks.where(~F.map_contains_key("attrs", F.lit("name")))
+        return bare.select("path", F.col("tag_start").alias("start"), F.col("tag_end").alias("end"), F.lit("named").alias("code"), F.lit("no name").alias("message"), F.lit(2).cast("tinyint").alias("severity"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("string").alias("error"))
 
-def test_text_columns(spark):
-    row = spark.createDataFrame([("　 a \r\n\nb\r\n",)], "t string").select(lines(F.col("t")), trimmed(F.col("t"))).first()
-    assert row[0] == ["　 a ", "", "b"] and row[1] == "a \r\n\nb"
+    files = in_memory(spark, {"a.py": block("name=x", "1") + block("b", "2")})
+    assert [d["range"]["start"]["line"] for d in json.loads(report(validate(files, None, Options(checks={"named": named}))))["a.py"]] == [4]
+    assert report(validate(files, None, Options(checks={"named": named}, disable=["named"]))) == ""
+    with pytest.raises(ValueError, match="exists"):
+        Options(checks={"affects": named})
+
+
+def test_all_checks_parse_files_once(spark):
+    files = in_memory(spark, {"a.py": block('line-count="==0" keep-sorted', "b", "a"), "b.py": block('name="n" affects=":gone"', "x"), "c.py": "# <block line-count=>\n"})
+    got = file_violations(files, None, Options(disable=["check-ai", "check-lua"]))
+    assert sorted((r.path, r.code) for r in got.collect()) == [("a.py", "keep-sorted"), ("a.py", "line-count")]
+    local = file_violations(files, None, Options(enable=["line-count", "keep-sorted", "keep-unique", "line-pattern"]))
+    assert local._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
 
 
 @pytest.fixture
 def tree(tmp_path):
     for path, text in {
         ".git/x": "", "a.py": block('line-count="==0"', "x"), "pkg/__init__.py": block("name=i", "1"), ".hidden/h.py": "# <block>", "out/gen.py": "# <block>", "pkg/skip.py": "# <block>", "pkg/keep.py": "",
-        ".gitignore": "/out\nskip*\n!keep.py\n# no\n",
+        ".gitignore": "/out\nskip*\n!keep.py\n# no\n", ".git/info/exclude": "own*\n", "own.py": "# <block>",
     }.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
@@ -239,6 +270,7 @@ def tree(tmp_path):
 
 def test_repository_source(spark, tree):
     assert list(walk(str(tree))) == ["a.py", "pkg/__init__.py", "pkg/keep.py"]
+    assert list(walk(str(tree / "pkg"))) == ["__init__.py", "keep.py"]
     assert find_root(str(tree / "pkg")) == str(tree)
     assert sorted(r.path for r in read_repo(spark, str(tree), ["pkg/*"], ["*keep*"]).collect()) == ["pkg/__init__.py"]
     os.symlink("/etc/hostname", tree / "link.py")
@@ -262,9 +294,20 @@ def test_command_line(spark, tree, capsys):
     assert go(stdin=io.StringIO(edit("pkg/__init__.py", 2, "2", "1"))) == 0
     assert go("list", "--diff", stdin=io.StringIO(edit("pkg/__init__.py", 2, "2", "1"))) == 0
     assert json.loads(capsys.readouterr().out)["pkg/__init__.py"][0]["is_content_modified"] is True
+    assert go("a*", "list", "pkg/**") == 0 and list(json.loads(capsys.readouterr().out)) == ["a.py", "pkg/__init__.py"]
     assert go("-e", "affects", "-d", "affects") == 1 and "must not be set" in capsys.readouterr().err
 
 
+def test_command_line_on_files_that_are_no_text_or_gone(spark, tree, capsys):
+    go = lambda *a, stdin=None: cli.main(list(a), spark, stdin or Tty(), str(tree))
+    (tree / "logo.png").write_bytes(b"\x89PNG\xff\xfe")
+    assert go("-d", "line-count") == 0 and capsys.readouterr().err == ""
+    emptied = "--- a/gone.py\n+++ b/gone.py\n@@ -1,2 +0,0 @@\n-a\n-b\n"
+    assert go(stdin=io.StringIO(emptied + edit("logo.png", 1, "a", "b") + edit("pkg/__init__.py", 2, "2", "1"))) == 0 and capsys.readouterr().err == ""
+    assert go("-E", "png=html") == 1 and "codec can't decode" in capsys.readouterr().err
+    assert go(stdin=io.StringIO(edit("missing.py", 1, "a", "b"))) == 1 and "No such file" in capsys.readouterr().err
+
+
 def test_stream_of_diffs(spark, tmp_path):
     (tmp_path / "diffs").mkdir()
     (tmp_path / "diffs/1.txt").write_text(edit("a.py", 2, "x = 2", "x = 1"))

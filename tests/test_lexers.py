@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tagloom.functions.lexers import EXTENSIONS, FORMATS, comments
+from tagloom.functions.lexers import EXTENSIONS, FORMATS, comments, format_name
 from tagloom.functions.tags import BlockError, attributes, blocks, may_have_tags, tags
 
 
@@ -139,3 +139,13 @@ def test_noise_around_one_pair_leaves_one_block():
         src = f"# {quiet[0]}\n# <block>\n# {quiet[1]}\n# </block>\n# {quiet[2]}".encode()
         assert len(blocks(src, "python")) == 1
     assert may_have_tags(b"x < / block") and not may_have_tags(b"<bloc")
+
+
+def test_comments_of_a_dockerfile_hold_their_line_breaks():
+    src = b"\n# syntax=a:1\nFROM x\n\nRUN echo hi # no\n\n  # deep\nCOPY . /app\n# last"
+    assert comments(src, "dockerfile") == [(1, 14, b"  syntax=a:1\n"), (42, 49, b"  deep\n"), (61, 67, b"  last")]
+
+
+@pytest.mark.parametrize("path,remap,expected", [("a/b.py", None, "python"), ("x.d.ts", None, "typescript"), ("Dockerfile", None, "dockerfile"), ("logo.png", None, None), ("a.tpl", {"tpl": "html"}, "html"), ("Makefile.am", None, None), ("py", None, "python"), (".gitignore", None, None)])
+def test_formats_of_paths(path, remap, expected):
+    assert format_name(path, remap) == expected
