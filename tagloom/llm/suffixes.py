@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .words import Words, mix, shingle_hashes, slices
 
 MIN_WORDS, Q = 50, 13
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 #: Words whose identifiers a partition holds; with arrays of them this is about 150 MB.
 PART_WORDS = 4_000_000
 FAN = 512
