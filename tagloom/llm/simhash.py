@@ -49,7 +49,9 @@ SUBSET, WEIGHT, PASS = 32, 11, 0.0551
 LEAF, SEED = 1000, 20150426
 ROOT_ROWS = 100_000
 #: Rows of a list that one task holds; rows a fingerprint that one round shuffles.
-LIST_ROWS, ROUND_ROWS = 300_000, 24
+LIST_ROWS, ROUND_ROWS = 1_000_000, 24
+#: Rows whose bits are unpacked, or held against all filters, at a time.
+PORTION = 1 << 15
 #: Rows that repeat one kept row, made by one task.
 CHUNK = 10_000
 _FP = ["f0", "f1", "f2", "f3"]
@@ -132,13 +134,15 @@ def repeats_for(depth: int) -> int:
 def strips_of(fp: np.ndarray, depth: int, repeat: int, seed: int) -> np.ndarray:
     """The strips of all fingerprints under the random permutation of a repetition, one uint64 each."""
     order = np.random.default_rng([seed, repeat]).permutation(BITS)
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1)[:, order]
     wide = min(64, BITS // depth)
     out = np.zeros((len(fp), depth), dtype=np.uint64)
-    for level in range(depth):
-        own = np.zeros((len(fp), 64), dtype=np.uint8)
-        own[:, :wide] = bits[:, level * wide : (level + 1) * wide]
-        out[:, level] = np.packbits(own, axis=1).view(np.uint64)[:, 0]
+    for a in range(0, len(fp), PORTION):
+        part = np.ascontiguousarray(fp[a : a + PORTION])
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1)[:, order]
+        own = np.zeros((len(part), 64), dtype=np.uint8)
+        for level in range(depth):
+            own[:, :wide] = bits[:, level * wide : (level + 1) * wide]
+            out[a : a + PORTION, level] = np.packbits(own, axis=1).view(np.uint64)[:, 0]
     return out
 
 
@@ -162,13 +166,18 @@ def pool_of(depth: int, seed: int) -> np.ndarray:
 def recurse(strips: np.ndarray, at: np.ndarray, level: int, path: np.uint64, depth: int, pool: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indexes, ids of the lists at ``depth`` that they reach) below the list ``path`` of ``level``, in portions."""
     subset, centre, ids = filters(path, pool)
-    kept = np.bitwise_count((strips[at, level, None] ^ centre) & subset) <= WEIGHT
+    passed = [np.nonzero(np.bitwise_count((strips[at[a : a + PORTION], level, None] ^ centre) & subset) <= WEIGHT) for a in range(0, len(at), PORTION)]
+    i = np.concatenate([x + k * PORTION for k, (x, _) in enumerate(passed)]) if passed else np.zeros(0, np.int64)
+    j = np.concatenate([y for _, y in passed]) if passed else i
     if level + 1 == depth:
-        i, j = np.nonzero(kept)
         yield at[i], ids[j]
         return
-    for j in np.flatnonzero(kept.any(axis=0)):
-        yield from recurse(strips, at[kept[:, j]], level + 1, ids[j], depth, pool)
+    order = np.argsort(j, kind="stable")
+    own = at[i[order]]
+    edge = np.append(0, np.cumsum(np.bincount(j, minlength=FILTERS)))
+    for k in range(FILTERS):
+        if edge[k] < edge[k + 1]:
+            yield from recurse(strips, own[edge[k] : edge[k + 1]], level + 1, ids[k], depth, pool)
 
 
 def root_of(repeat: int, seed: int) -> np.uint64:

@@ -281,7 +281,7 @@ def test_op5_fingerprints_are_majorities_and_whole_groups_are_found(spark):
     assert not any(d in got for d in first.values())
 
 
-@pytest.mark.parametrize("split,rows", [(1, 300_000), (2, 300_000), (1, 150)])
+@pytest.mark.parametrize("split,rows", [(1, 1_000_000), (2, 1_000_000), (1, 150)])
 def test_op5_finds_the_same_links_whatever_the_split(spark, monkeypatch, split, rows):
     monkeypatch.setattr(simhash, "LIST_ROWS", rows)
     rng = np.random.default_rng(12)
