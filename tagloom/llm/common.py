@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import re
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -20,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This session's own folder below ``spark.checkpoint.dir``; only a session that names none,
-    such as a local test, gets one under the warehouse folder.
+    """This session's own folder below ``spark.checkpoint.dir``. A local session that names none
+    gets one under the warehouse folder; a cluster's must name one that all its machines share.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get(CHECKPOINT_KEY)
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"{CHECKPOINT_KEY} isn't set: it must name a folder that all executors share")
         sc.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 

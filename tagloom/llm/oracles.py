@@ -2,6 +2,7 @@
 
 from .decontaminate import MIN_ITEM_WORDS, SHINGLE, THRESHOLD
 from .divergence import CHAR_LIMIT, COMMON, MIN_CHARS, MIN_WORDS, WORD_LIMIT
+from .packing import CAPACITY
 from .suffixes import MIN_WORDS as MIN_PASSAGE
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -58,3 +59,14 @@ def suffixes() -> str:
     s as (select *, count(*) over (partition by k) as n, first_value(doc_id) over o as source_id, first_value(pos) over o as source_word, row_number() over o = 1 as is_source from k window o as (partition by k order by doc_id nulls last, pos)),
     i as (select *, pos - row_number() over (partition by doc_id, source_id, pos - source_word, is_source order by pos) as island from s where n > 1)
     select doc_id, min(pos)::bigint as start_word, (count(*) + {n} - 1)::bigint as n_words, source_id, min(source_word)::bigint as source_word, is_source from i group by doc_id, source_id, pos - source_word, is_source, island"""
+
+
+def packing_holds() -> str:
+    """Words and pieces of every document that has words, and nothing wrong."""
+    return f"""
+    with n as (select doc_id, length(regexp_extract_all(coalesce(text, ''), '\\S+')) as n from documents)
+    select doc_id, sum(n)::bigint as words, sum(ceil(n / {CAPACITY}))::bigint as pieces, 0::bigint as wrong from n where n > 0 group by doc_id"""
+
+
+def sharding_holds() -> str:
+    return "select doc_id, lang, source, n_chars, count(*) as n, 0::bigint as gaps from documents group by all"

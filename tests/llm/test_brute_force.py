@@ -531,6 +531,74 @@ def test_op9_on_held_out_labels():
     assert (score[good] >= 0.5).mean() > 0.97 and (score[~good] < 0.5).mean() > 0.9
 
 
+def test_op9_forward_pass_against_one_document_at_a_time():
+    rng = random.Random(3)
+    words = vocabulary(rng)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 5, 63, 64, 65, 300, 1000)] + ["", None, "x! y| Z9 " * 70]
+    model = classifier.Model()
+    model.odds = np.abs(np.random.default_rng(1).standard_normal(model.odds.shape)).astype(np.float32)
+    got = model.score(classifier.Passages(pa.array(texts)))
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for text, score in zip(texts, got):
+        own = classifier.Passages(pa.array([text], pa.string()))
+        if not len(own.word_first):
+            assert score == 0
+            continue
+        z = model.encode(own).astype(float)
+        h = [np.tanh(x @ p["W"] + p["b"]) for x in z]
+        weight = np.array([np.exp(sum(p["w"][k] * np.tanh(x @ p["V"][:, k]) / (1 + np.exp(-(x @ p["U"][:, k]))) for k in range(len(p["w"])))) for x in h])
+        m = sum(a * x for a, x in zip(weight / weight.sum(), h))
+        assert abs(score - 1 / (1 + np.exp(-(m @ p["c"] + p["d"][0])))) < 1e-4 and len(h) == -(-len(text.split()) // 64)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables are absent")
+def test_pipeline_against_stage_by_stage_brute_force(spark):
+    """Every stage's decisions on all rows of the smallest tables, made one document or pair at a time; bins by what must hold of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    model = classifier.train(docs, labels)
+    left = {r.doc_id: r.text for r in docs.collect()}
+    left = {d: t for d, t in left.items() if (model.score(classifier.Passages(pa.array([t])))[0] if model else any(c.isalnum() for c in t or "")) >= 0.5}
+    stages = dict(corpus_pipeline.STAGES)
+    kept = docs
+    for name in ("quality_classifier", "near_duplicates", "decontamination", "pii"):
+        if name == "near_duplicates":
+            ids = sorted(left)
+            have, fp = simhash.fingerprints_of(Words(pa.array([left[i] for i in ids])), simhash.spread_table())
+            root = {i: i for i in ids}
+            while True:
+                old = dict(root)
+                for a in range(len(have)):
+                    near = [ids[have[b]] for b in np.flatnonzero(np.bitwise_count(fp ^ fp[a]).sum(axis=1) <= simhash.RADIUS)]
+                    low = min(root[x] for x in near)
+                    root.update((x, min(root[x], low)) for x in near)
+                if root == old:
+                    break
+            left = {i: t for i, t in left.items() if root[i] == i}
+        elif name == "decontamination":
+            sets = [s for s in (decontaminate.text_shingles(r.text, 5) for r in bench.collect()) if s]
+            own = {i: decontaminate.text_shingles(t, 5) for i, t in left.items()}
+            left = {i: t for i, t in left.items() if not any(len(s & own[i]) >= 0.5 * len(s) for s in sets if len(next(iter(s))) == 5)}
+        elif name == "pii":
+            anchors = pii.automaton()
+            left = {i: pii.redact(t, pii.find(t, anchors)) for i, t in left.items()}
+        kept = stages[name](spark, kept, SF)
+        assert {r.doc_id: r.text for r in kept.collect()} == left, name
+    bins, placed = defaultdict(list), Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        bins[r.bin_id].append((r.offset, r.n_words))
+        placed[r.doc_id] += r.n_words
+    assert placed == Counter({i: len(t.split()) for i, t in left.items() if t.split()})
+    assert all(a + n <= b for own in bins.values() for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:] + [(packing.CAPACITY, 0)]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="tables are absent")
+def test_pipeline_leaves_no_planted_secret(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = docs.where(F.col("text").rlike('token = "[0-9a-f]{40}"'))
+    assert planted.count() > 5 and dict(corpus_pipeline.STAGES)["pii"](spark, planted, "").where(F.col("text").rlike("[0-9a-f]{40}")).count() == 0
+
+
 def test_op9_gradient_is_the_derivative():
     texts = ["ab cd ef " * 40, "gh ij kl! " * 50, "mn op qr | " * 60, "st"]
     x = classifier.Passages(pa.array(texts))
