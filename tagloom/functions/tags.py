@@ -9,7 +9,7 @@ import regex
 
 from .lexers import Lines, comments
 
-_NAME = r"[\p{L}\p{M}\p{N}_-]+"
+_NAME = r"[\p{Alphabetic}\p{N}_-]+"
 _VALUE = rf"(?:\"[^\"]*\"|'[^']*'|{_NAME})"
 _SPACE = r"[ \t\r\n]"
 #: Possessive, since the grammar of attributes never reconsiders what it has read.

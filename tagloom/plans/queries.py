@@ -61,7 +61,7 @@ def _joined(rows: DataFrame, keys: list[str], order: list[str], line: Column) ->
 
 
 def _comments_html(s, d):
-    files = _t(s, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    files = spread(_t(s, d, "pages")).select(F.concat(F.lit("p/"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
     return extract_comments(files).select(F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("page_id"), F.col("seq").cast("bigint").alias("seq"), "text")
 
 
