@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 PAIR_LIMIT, BYTE_LIMIT = 10_000, 65_536
+#: Characters of one line times characters of the other: from the first, shortest paths to all places are computed at once; beyond the second, steps of all diagonals.
+TABLE, WIDE = 400, 4_000_000
 _HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 Ranges = list[tuple[int, int]]
@@ -41,6 +45,130 @@ def _snake(old: str, new: str) -> tuple[int, int] | None:
     return None
 
 
+def _characters(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _along(x: np.ndarray, y: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
+    """Moves points over all the characters that follow them in both lines."""
+    n, m = len(old), len(new)
+    at = np.flatnonzero((x < n) & (y >= 0) & (y < m))
+    while len(at):
+        at = at[old[x[at]] == new[y[at]]]
+        x[at] += 1
+        y[at] += 1
+        at = at[(x[at] < n) & (y[at] < m)]
+
+
+def _wide_snake(old: np.ndarray, new: np.ndarray) -> tuple[int, int] | None:
+    """As ``_snake``, a step of all diagonals at a time."""
+    n, m = len(old), len(new)
+    delta = n - m
+    odd = delta % 2 == 1
+    top = (n + m + 1) // 2 + 2
+    zero = top + abs(delta)
+    ahead, back = (np.zeros(2 * zero + 1, dtype=np.int64) for _ in range(2))
+    dlo, wen = old[::-1], new[::-1]
+
+    def step(reached: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = np.arange(d, -d - 1, -2)
+        left, right = reached[zero + k - 1], reached[zero + k + 1]
+        down = left < right
+        down[0] = d == 0
+        down[-1] = True
+        x = np.where(down, right, left + 1)
+        return k, x, x - k
+
+    for d in range((n + m + 1) // 2 + 1):
+        k, x, y = step(ahead, d)
+        begin = x.copy()
+        _along(x, y, old, new)
+        ahead[zero + k] = x
+        if odd:
+            met = np.flatnonzero((np.abs(k - delta) <= d - 1) & (x + back[zero + delta - k] >= n))
+            if len(met):
+                i = met[0]
+                return int(begin[i]), int(begin[i] - k[i])
+        k, x, y = step(back, d)
+        _along(x, y, dlo, wen)
+        back[zero + k] = x
+        if not odd:
+            met = np.flatnonzero((np.abs(k - delta) <= d) & (x + ahead[zero + delta - k] >= n))
+            if len(met):
+                i = met[0]
+                return int(n - x[i]), int(m - (x[i] - k[i]))
+    return None
+
+
+def _rows(old: str, new: str):
+    """For each prefix of ``new`` a number whose bit i is unset where a longest common subsequence with ``old`` grows at character i; a step updates all bits at once."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(old):
+        where[c] = where.get(c, 0) | 1 << i
+    row = full = (1 << len(old)) - 1
+    yield row
+    for c in new:
+        hit = row & where.get(c, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _distances(old: str, new: str) -> np.ndarray:
+    """Edits between all prefixes of ``new`` (rows) and of ``old`` (columns)."""
+    n, m = len(old), len(new)
+    wide = (n + 7) // 8
+    packed = np.frombuffer(b"".join(row.to_bytes(wide, "little") for row in _rows(old, new)), dtype=np.uint8).reshape(m + 1, wide)
+    out = np.zeros((m + 1, n + 1), dtype=np.int32)
+    # a character of old costs one edit, unless it is in common, which saves one of new's as well
+    np.cumsum(np.unpackbits(packed, axis=1, count=n, bitorder="little").astype(np.int8) * np.int8(2) - np.int8(1), axis=1, dtype=np.int32, out=out[:, 1:])
+    out += np.arange(m + 1, dtype=np.int32)[:, None]
+    return out
+
+
+def _table_snake(old: str, new: str) -> tuple[int, int] | None:
+    """As ``_snake``, from the edits between all prefixes and between all suffixes."""
+    n, m = len(old), len(new)
+    delta = n - m
+    ahead, back = _distances(old, new), _distances(old[::-1], new[::-1])
+    edits = int(ahead[m, n])
+    diagonal = np.arange(n + 1)[None, :] - np.arange(m + 1)[:, None] + m
+    k = np.arange(n, -m - 1, -1)
+    none = -2 * (n + m)
+
+    def reach(distance: np.ndarray, d: int) -> np.ndarray:
+        """The farthest column of each diagonal, from n to -m, within d edits."""
+        cells = np.bincount(diagonal[distance <= d], minlength=n + m + 1)[::-1]
+        x = np.maximum(k, 0) + cells - 1
+        x[(cells == 0) | (np.abs(k) > d)] = none
+        return x
+
+    d = (edits + 1) // 2
+    step = (np.abs(k) <= d) & ((k - d) % 2 == 0)
+    if edits % 2:
+        x, other = reach(ahead, d), reach(back, d - 1)
+        before = np.concatenate([[none], reach(ahead, d - 1), [none]])
+        met = np.flatnonzero(step & (np.abs(k - delta) <= d - 1) & (x + other[::-1] >= n))
+        if not len(met):
+            return None
+        i = int(met[0])
+        # diagonal k + 1 is one place ahead, k - 1 one behind
+        begin = int(max(before[i], before[i + 2] + 1))
+        return begin, begin - int(k[i])
+    x, other = reach(back, d), reach(ahead, d)
+    met = np.flatnonzero(step & (np.abs(k - delta) <= d) & (x + other[::-1] >= n))
+    if not len(met):
+        return None
+    i = int(met[0])
+    return n - int(x[i]), m - int(x[i] - k[i])
+
+
+def _middle(old: str, new: str) -> tuple[int, int] | None:
+    size = len(old) * len(new)
+    if size < TABLE:
+        return _snake(old, new)
+    return _table_snake(old, new) if size <= WIDE else _wide_snake(_characters(old), _characters(new))
+
+
 def opcodes(old: str, new: str) -> list[tuple[str, int, int, int, int]]:
     """A minimal edit script of two lines, by Myers' algorithm in linear space; what is deleted and inserted in one place is a replacement."""
     script: list[list[int]] = []  # runs of changes, as spans of old and new
@@ -61,19 +189,25 @@ def opcodes(old: str, new: str) -> list[tuple[str, int, int, int, int]]:
         if a == b or c == d:
             if a < b or c < d:
                 changed(a, b, c, d)
-        elif (at := _snake(old[a:b], new[c:d])) is None or at in ((0, 0), (b - a, d - c)):
+        elif (at := _middle(old[a:b], new[c:d])) is None or at in ((0, 0), (b - a, d - c)):
             changed(a, b, c, d)
         else:
             todo += [(a + at[0], b, c + at[1], d), (a, a + at[0], c, c + at[1])]
     return [("replace" if a < b and c < d else "delete" if a < b else "insert", a, b, c, d) for a, b, c, d in script]
 
 
+def in_common(old: str, new: str) -> int:
+    """Length of a longest common subsequence."""
+    for row in _rows(old, new):
+        pass
+    return len(old) - row.bit_count()
+
+
 def ratio(old: str, new: str) -> float:
     """Twice the characters in common over all characters."""
     if not old and not new:
         return 1.0
-    same = len(old) - sum(b - a for _, a, b, _, _ in opcodes(old, new))
-    return 2 * same / (len(old) + len(new))
+    return 2 * in_common(old, new) / (len(old) + len(new))
 
 
 def changed_ranges(old: str, new: str) -> Ranges:
@@ -103,6 +237,8 @@ def align(removed: list[str], added: list[str]) -> list[int | None]:
     size = sum(len(x.encode()) for x in removed + added)
     if len(removed) * len(added) > PAIR_LIMIT or size > BYTE_LIMIT:
         return [i if i < len(removed) else None for i in range(len(added))]
+    if len(removed) == len(added) == 1:
+        return [0]
     table = [[ratio(r, a) for a in added] for r in removed]
     out: list[int | None] = [None] * len(added)
     todo = [(0, len(removed), 0, len(added))]

@@ -147,7 +147,9 @@ def _diff_changes(s, d):
 
 
 def _diff_similarity(s, d):
-    a, b = (_t(s, d, "conversations").select("conv_id", (F.col("turn") + k).alias("turn"), F.regexp_replace("text", r"[\r\n]+", " ").alias(n)) for k, n in ((1, "old"), (0, "new")))
+    # a shuffle of a stated number of partitions serves the join and isn't made smaller: comparing texts costs far more than moving them
+    parts = max(s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+    a, b = (_t(s, d, "conversations").select("conv_id", (F.col("turn") + k).alias("turn"), F.regexp_replace("text", r"[\r\n]+", " ").alias(n)).repartition(parts, "conv_id", "turn") for k, n in ((1, "old"), (0, "new")))
     head = F.concat(F.lit("--- a/c\n+++ b/"), F.concat_ws("_", "conv_id", "turn"), F.lit(".py\n@@ -1,1 +1,1 @@\n-"))
     diffs = a.join(b, ["conv_id", "turn"]).select(F.concat(head, F.col("old"), F.lit("\n+"), F.col("new"), F.lit("\n")).alias("text"))
     return diff_changes(diffs).where("error is null").select(_id(0).alias("conv_id"), _id(1).alias("turn"), "line", F.size("ranges").cast("bigint").alias("n_ranges"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tagloom.functions.diffs import DiffError, align, changed_ranges, changes, merged, opcodes, ratio
+from tagloom.functions.diffs import DiffError, _characters, _snake, _table_snake, _wide_snake, align, changed_ranges, changes, in_common, merged, opcodes, ratio
 
 
 @pytest.mark.parametrize(
@@ -45,6 +45,25 @@ def test_edit_scripts_are_minimal_and_lead_from_old_to_new():
         assert old == new == "" or ratio(old, new) == 2 * common(old, new) / (len(old) + len(new))
 
 
+def test_long_lines_as_short_ones():
+    rng = random.Random(2)
+    for _ in range(300):
+        old, new = ("".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(1, 40))) for _ in range(2))
+        while old and new and old[0] == new[0]:
+            old, new = old[1:], new[1:]
+        while old and new and old[-1] == new[-1]:
+            old, new = old[:-1], new[:-1]
+        if old and new:
+            assert _table_snake(old, new) == _wide_snake(_characters(old), _characters(new)) == _snake(old, new), (old, new)
+    for n, m, letters in [(300, 250, "ab"), (120, 400, "abcdefgh "), (500, 501, "abc"), (260, 300, "xyz€𝄞"), (350, 60, "a"), (1, 600, "ab"), (600, 1, "abc")]:
+        old, new = ("".join(rng.choice(letters) for _ in range(k)) for k in (n, m))
+        assert _wide_snake(_characters(old), _characters(new)) == _table_snake(old, new) == _snake(old, new)
+        script = opcodes(old, new)
+        assert len(old) - sum(b - a for _, a, b, _, _ in script) == common(old, new) == in_common(old, new)
+    edited = "word " * 4000
+    assert changed_ranges(edited, edited[:9000] + "#" + edited[9000:]) == [(9000, 9001)]
+
+
 def test_emptied_files_are_as_removed_ones():
     assert changes("--- a/gone.py\n+++ b/gone.py\n@@ -1,4 +0,0 @@\n-a\n-b\n-c\n-d\n--- a/x\n+++ b/x\n@@ -1,1 +1,1 @@\n-a\n+b\n") == {"x": [(1, [(0, 1)])]}
     assert changes(diff("f", "@@ -5,2 +4,0 @@\n-a\n-b\n")) == {"f": [(5, None)]}
