@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .classifier import accepted
 from .common import table
-from .credentials import credentials
+from .credentials import linked
 from .decontaminate import contained_items
 from .divergence import kept
 from .licenses import find_licenses
@@ -47,7 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": lambda s, d: find_pii(docs(s, d)),
         "op5_simhash": lambda s, d: near_duplicates(docs(s, d)),
         "op6_sharding": lambda s, d: shuffled(docs(s, d)),
-        "op7_credentials": lambda s, d: credentials(docs(s, d)),
+        "op7_credentials": lambda s, d: linked(docs(s, d)),
         "op8_licenses": lambda s, d: find_licenses(docs(s, d)),
         "op9_classifier": lambda s, d: accepted(docs(s, d), table(s, d, "labels")),
         "op10_packing": lambda s, d: pack(docs(s, d)),
