@@ -7,26 +7,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.diffs import DiffError, changes
-from .schemas import CHANGES
+from ..functions.native import changed_ranges
+from .extract import SLICE_ROWS, _batch
 
 
 def diff_changes(diffs: DataFrame) -> DataFrame:
-    """Changes of unified diffs, one diff a row of ``diffs`` (text); ``error`` says why one can't be used."""
+    """Changes of unified diffs, one diff a row of ``diffs`` (text); ``error`` says why one can't be used.
+
+    Diffs are read in Python; the characters of lines that replace others are compared in the JVM.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for text in batch.column(0).to_pylist():
                 try:
-                    for path, found in changes(text or "").items():
-                        rows += [(path, n, None if r is None else [{"s": a, "e": b} for a, b in r], None) for n, r in found]
+                    for path, found in changes(text or "", lambda old, new: (old, new)).items():
+                        rows += [(path, n, *(pair or (None, None)), None) for n, pair in found]
                 except DiffError as e:
-                    rows.append((None, None, None, str(e)))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "line", "ranges", "error"])
+                    rows.append((None, None, None, None, str(e)))
+                if len(rows) >= SLICE_ROWS:
+                    yield _batch(rows, _PAIRS)
+                    rows = []
+            if rows:
+                yield _batch(rows, _PAIRS)
+
+    pairs = diffs.select(F.col("text").cast("string")).mapInArrow(run, "path string, line bigint, old string, new string, error string")
+    return pairs.select("path", "line", changed_ranges(diffs.sparkSession)(F.col("old"), F.col("new")).alias("ranges"), "error")
+
 
-    return diffs.select(F.col("text").cast("string")).mapInArrow(run, CHANGES + ", error string")
+_PAIRS = pa.schema([("path", pa.string()), ("line", pa.int64()), ("old", pa.string()), ("new", pa.string()), ("error", pa.string())])
 
 
 def _touches(change: Column, first: Column, last: Column, inclusive: bool) -> Column:

@@ -64,6 +64,18 @@ def test_long_lines_as_short_ones():
     assert changed_ranges(edited, edited[:9000] + "#" + edited[9000:]) == [(9000, 9001)]
 
 
+def test_executors_compare_as_python_does(spark):
+    from tagloom.functions.native import changed_ranges as native
+
+    rng = random.Random(3)
+    texts = lambda: ("".join(rng.choice("abcde€𝄞 "[: rng.randint(1, 8)]) for _ in range(rng.randint(0, rng.choice([3, 9, 40, 150])))) for _ in range(2))
+    pairs = [(*texts(), n) for n in range(600)] + [("a€" * 300, "b" + "a€" * 290, 600), (None, "a", 601), ("word " * 400, "ward " * 900, 602)]
+    rows = spark.createDataFrame(pairs, "old string, new string, n int")
+    got = {r.n: r.ranges for r in rows.select("n", native(spark)(rows.old, rows.new).alias("ranges")).collect()}
+    for old, new, n in pairs:
+        assert got[n] == (None if old is None else changed_ranges(old, new)), (old, new)
+
+
 def test_emptied_files_are_as_removed_ones():
     assert changes("--- a/gone.py\n+++ b/gone.py\n@@ -1,4 +0,0 @@\n-a\n-b\n-c\n-d\n--- a/x\n+++ b/x\n@@ -1,1 +1,1 @@\n-a\n+b\n") == {"x": [(1, [(0, 1)])]}
     assert changes(diff("f", "@@ -5,2 +4,0 @@\n-a\n-b\n")) == {"f": [(5, None)]}
