@@ -16,6 +16,7 @@ from ..functions.text import matches_any
 from ..operators import validators as v
 from ..operators.changes import diff_changes, mark_modified
 from ..operators.extract import extract_blocks, extract_comments, format_of, spread
+from ..operators.local import local_file_checks
 from .engine import Options, file_violations, list_blocks, report_by_path, violations
 
 
@@ -81,7 +82,7 @@ def _line_count(s, d):
 
 def _sorted_desc(s, d):
     body = _joined(_t(s, d, "orders"), ["o_custkey"], ["o_orderkey"], F.col("o_orderpriority"))
-    return _found(v.keep_sorted(_blocks(_files(body, _path("o", "o_custkey"), 'keep-sorted="desc"', F.col("body")))), _id().alias("custkey"))
+    return _found(local_file_checks(_files(body, _path("o", "o_custkey"), 'keep-sorted="desc"', F.col("body")), ["keep-sorted"]), _id().alias("custkey"))
 
 
 def _sorted_numeric(s, d):
@@ -93,12 +94,12 @@ def _sorted_pattern(s, d):
     line = F.concat(F.lit("  no: "), F.col("p_size"), F.lit(" "), F.col("p_brand"))
     body = _joined(_t(s, d, "part").withColumn("bin", F.floor(F.col("p_partkey") / 20)), ["bin"], ["p_partkey"], line)
     attrs = 'keep-sorted-pattern="no: (?P<value>[0-9]+)" keep-sorted-format="numeric" keep-sorted="asc"'
-    return _found(v.keep_sorted(_blocks(_files(body, _path("p", "bin"), attrs, F.col("body")))), _id().alias("bin"))
+    return _found(local_file_checks(_files(body, _path("p", "bin"), attrs, F.col("body")), ["keep-sorted"]), _id().alias("bin"))
 
 
 def _unique_pattern(s, d):
     body = _joined(_t(s, d, "events"), ["user_id"], ["event_id"], F.concat(F.col("event_type"), F.lit(" = "), F.col("event_id")))
-    return _found(v.keep_unique(_blocks(_files(body, _path("e", "user_id"), 'keep-unique="^[a-z_]+"', F.col("body")))), _id().alias("user_id"))
+    return _found(local_file_checks(_files(body, _path("e", "user_id"), 'keep-unique="^[a-z_]+"', F.col("body")), ["keep-unique"]), _id().alias("user_id"))
 
 
 def _supplier_files(s, d) -> DataFrame:
@@ -182,7 +183,7 @@ def _severity(s, d):
 
 
 def _report(s, d):
-    both = violations(_blocks(_docs(s, d, 'line-count="<=8" keep-sorted')), Options(enable=["line-count", "keep-sorted"]))
+    both = local_file_checks(_docs(s, d, 'line-count="<=8" keep-sorted'), ["line-count", "keep-sorted"])
     return report_by_path(both).select(_id().alias("doc_id"), F.size(F.from_json("diagnostics", "array<struct<code: string>>")).cast("bigint").alias("n"))
 
 
@@ -210,13 +211,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "comments_html": _comments_html,
         "blocks_list": _blocks_list,
         "line_count": _line_count,
-        "keep_sorted_lex": lambda s, d: _found(v.keep_sorted(_blocks(_docs(s, d, "keep-sorted"))), _id().alias("doc_id")),
+        "keep_sorted_lex": lambda s, d: _found(local_file_checks(_docs(s, d, "keep-sorted"), ["keep-sorted"]), _id().alias("doc_id")),
         "keep_sorted_desc": _sorted_desc,
         "keep_sorted_numeric": _sorted_numeric,
         "keep_sorted_pattern": _sorted_pattern,
-        "keep_unique": lambda s, d: _found(v.keep_unique(_blocks(_docs(s, d, "keep-unique"))), _id().alias("doc_id")),
+        "keep_unique": lambda s, d: _found(local_file_checks(_docs(s, d, "keep-unique"), ["keep-unique"]), _id().alias("doc_id")),
         "keep_unique_pattern": _unique_pattern,
-        "line_pattern": lambda s, d: _found(v.line_pattern(_blocks(_docs(s, d, 'line-pattern="^[A-Z]"'))), _id().alias("doc_id")),
+        "line_pattern": lambda s, d: _found(local_file_checks(_docs(s, d, 'line-pattern="^[A-Z]"'), ["line-pattern"]), _id().alias("doc_id")),
         "affects_drift": _affects,
         "affects_lookup": _lookup,
         "overlap_modified": _overlap,

@@ -257,6 +257,33 @@ def test_all_checks_parse_files_once(spark):
     assert local._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
 
 
+def test_long_batches_are_parsed_in_bounded_parts():
+    import pyarrow as pa
+
+    from tagloom.operators.extract import SLICE_CHARS, SLICE_ROWS, sliced
+
+    texts = ["x" * (SLICE_CHARS // 3 + 1)] * 7 + ["y" * (3 * SLICE_CHARS)] + ["z", None] * SLICE_ROWS
+    batch = pa.RecordBatch.from_pydict({"path": list(map(str, range(len(texts)))), "content": texts}).slice(1)
+    parts = list(sliced(batch))
+    assert [t for _, part in parts for t in part] == texts[1:] and [int(p) for part, _ in parts for p in part] == list(range(1, len(texts)))
+    assert all(len(p) == 1 or len(p) <= SLICE_ROWS and sum(len(t or "") for t in p) <= SLICE_CHARS for _, p in parts)
+    assert list(sliced(batch.slice(0, 0))) == []
+
+
+@pytest.mark.parametrize("check", ["keep-sorted", "keep-unique", "line-pattern", "line-count"])
+def test_files_are_checked_as_their_blocks_are(spark, check):
+    from tagloom.operators.extract import extract_blocks
+    from tagloom.operators.local import local_checks, local_file_checks
+
+    attrs = {"keep-sorted": "keep-sorted", "keep-unique": "keep-unique", "line-pattern": 'line-pattern="^[a-z]+$"', "line-count": 'line-count="<2"'}[check]
+    own = {f"f{i}.py": block(f'{attrs} name="n{i}"', *lines) for i, lines in enumerate([("b", "a"), ("a", "a"), ("é1", "é1", " é"), (), ("a",)])}
+    files = in_memory(spark, own | {"bad.py": f"# <block {attrs}>\n", "other.py": block("name=x", "b", "a"), "two.py": own["f0.py"] * 2, "a.b.ts": "// <block " + attrs + ">\nb\na\n// </block>", "wrong.py": block(f"{attrs} severity=odd", "b", "b", "a1")})
+    found = local_file_checks(files, [check])
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    expected = local_checks(extract_blocks(files).where("error is null"), [check])
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and not found.isEmpty()
+
+
 @pytest.fixture
 def tree(tmp_path):
     for path, text in {
