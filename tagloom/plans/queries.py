@@ -87,7 +87,7 @@ def _sorted_desc(s, d):
 
 def _sorted_numeric(s, d):
     body = _joined(_t(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_quantity"], F.col("l_quantity").cast("bigint").cast("string"))
-    return _found(v.keep_sorted(_blocks(_files(body, _path("l", "l_orderkey"), 'keep-sorted-format="numeric" keep-sorted', F.col("body")))), _id().alias("orderkey"))
+    return _found(local_file_checks(_files(body, _path("l", "l_orderkey"), 'keep-sorted-format="numeric" keep-sorted', F.col("body")), ["keep-sorted"]), _id().alias("orderkey"))
 
 
 def _sorted_pattern(s, d):
