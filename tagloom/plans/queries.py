@@ -76,7 +76,7 @@ def _blocks_list(s, d):
 
 
 def _line_count(s, d):
-    rows = v.line_count(_blocks(_docs(s, d, 'line-count="<=8"')))
+    rows = local_file_checks(_docs(s, d, 'line-count="<=8"'), ["line-count"])
     return rows.select(_id().alias("doc_id"), F.get_json_object("data", "$.actual").cast("bigint").alias("actual"), "message")
 
 
