@@ -17,7 +17,7 @@ from ..operators import validators as v
 from ..operators.changes import diff_changes, mark_modified
 from ..operators.extract import extract_blocks, extract_comments, format_of, spread
 from ..operators.local import local_file_checks
-from .engine import Options, file_violations, list_blocks, report_by_path, violations
+from .engine import Options, file_violations, list_blocks, report_by_path
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -179,7 +179,7 @@ def _priced_orders(s, d) -> DataFrame:
 
 
 def _severity(s, d):
-    return violations(_blocks(_priced_orders(s, d)), Options(enable=["line-count"])).groupBy("severity").agg(F.count("*").alias("n"), F.min("message").alias("least")).select(F.col("severity").cast("int").alias("severity"), "n", "least")
+    return local_file_checks(_priced_orders(s, d), ["line-count"]).groupBy("severity").agg(F.count("*").alias("n"), F.min("message").alias("least")).select(F.col("severity").cast("int").alias("severity"), "n", "least")
 
 
 def _report(s, d):
