@@ -6,7 +6,8 @@ of its number among the rows equal to it, so many buckets that one holds about
 bucket into a fixed order and gives it a Fisher-Yates shuffle with a generator seeded by
 seed and bucket. The order depends on the rows and the seed alone, not on how the input
 was divided or on which tasks were run again. A bucket is one partition, so it is written
-as one file.
+as one file. Where a number of buckets is asked for that makes them larger than memory
+allows, the same order comes from sorts on disk.
 
 Defined cases: nulls are values; rows that repeat each other are scattered like others and
 keep their number; texts may be null, empty or as long as a bucket; an empty table gives
@@ -90,10 +91,32 @@ def numbered(docs: DataFrame, k1: str, k2: str, nth: str) -> DataFrame:
     return once.join(keys, [k1, k2], "left_anti").select(*(F.col(f"`{c}`") for c in again.columns)).unionByName(again)
 
 
+def _streamed(rows: DataFrame, seed: int, shard: str, position: str, keys: list[str], out: T.StructType) -> DataFrame:
+    """Positions of ``rows``, a bucket a partition, where buckets are too large for a task's memory: Spark sorts them, on disk if need be, and Python holds numbers of rows."""
+    counts = {r[0]: r[1] for r in rows.groupBy(shard).agg(F.count("*")).collect()}
+
+    def run(batches):
+        bucket, places, rank = None, None, 0
+        for batch in batches:
+            of = batch.column(shard).to_numpy()
+            found = np.empty(len(of), dtype=np.int64)
+            for b in np.unique(of).tolist():
+                at = np.flatnonzero(of == b)
+                if b != bucket:
+                    bucket, rank = b, 0
+                    places = np.empty(counts[b], dtype=np.int64)
+                    places[fisher_yates(counts[b], np.random.default_rng([seed, b]))] = np.arange(counts[b])
+                found[at] = places[rank : rank + len(at)]
+                rank += len(at)
+            yield batch.drop_columns(keys).append_column(position, pa.array(found))
+
+    return rows.sortWithinPartitions(shard, *keys).mapInArrow(run, out).sortWithinPartitions(shard, position)
+
+
 def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, buckets: int | None = None) -> DataFrame:
     """``docs`` in shuffled shards: their columns, ``shard`` and ``position`` in it, in this order."""
+    size = docs.agg(F.coalesce(F.sum(_row_bytes(docs)), F.lit(0))).first()[0]
     if buckets is None:
-        size = docs.agg(F.coalesce(F.sum(_row_bytes(docs)), F.lit(0))).first()[0]
         buckets = max(1, -(-size // bucket_bytes))
     shard, position = free_name("shard", docs.columns), free_name("position", docs.columns)
     taken = [*docs.columns, shard, position, "row__", "n__", "chunk__"]
@@ -102,6 +125,9 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     rows = numbered(docs, k1, k2, nth)
     rows = rows.withColumn(shard, F.pmod(F.xxhash64(F.lit(seed), F.col(k1), F.col(k2), F.col(nth)), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col(shard))
 
+    if size > 2 * bucket_bytes * buckets:
+        return _streamed(rows, seed, shard, position, [k1, k2, nth], out)
+
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:

@@ -377,6 +377,20 @@ def test_op6_against_a_plain_version(spark):
         assert [got[b, k] for k in range(len(own))] == own
 
 
+def test_op6_shards_larger_than_memory_have_the_same_order(spark):
+    texts = [f"t {i % 150} é" if i % 7 else None for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        runs = []
+        for limit in (sharding.BUCKET_BYTES, 1):
+            made = sharding.shuffled(frame(spark, texts).drop("doc_id"), seed=4, buckets=3, bucket_bytes=limit)
+            runs.append([sorted(map(repr, made.collect())), made.rdd.glom().map(lambda rows: [(r.shard, r.position, r.text) for r in rows]).collect()])
+            assert ("Sort" in made._jdf.queryExecution().optimizedPlan().toString()) == (limit == 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs[0] == runs[1] and len(runs[0][0]) == 400
+
+
 def test_op6_writes_a_file_per_shard(spark, tmp_path):
     sharding.write_shards(frame(spark, [f"t {i}" for i in range(100)]), str(tmp_path / "x"), buckets=4)
     assert len(list((tmp_path / "x").glob("*.parquet"))) == 4
