@@ -270,6 +270,18 @@ def test_long_batches_are_parsed_in_bounded_parts():
     assert list(sliced(batch.slice(0, 0))) == []
 
 
+def test_blocks_and_errors_become_columns():
+    from tagloom.operators.extract import BLOCKS_ARROW, _block_batch
+
+    rows = [("a", 0, {"x": "", "y": "é"}, (1, 3), (1, 9), "t", 9, 10, (1, 9), (2, 1), None), ("b", *[None] * 9, "bad"), ("c", 0, {}, (2, 3), (2, 9), "", 0, 0, (1, 1), (1, 1), None)]
+    got = _block_batch(rows)
+    got.validate(full=True)
+    assert got.schema == BLOCKS_ARROW and _block_batch([]).num_rows == 0
+    place = lambda p: p and {"line": p[0], "character": p[1]}
+    expected = [[r[0], r[1], None if r[2] is None else list(r[2].items()), place(r[3]), place(r[4]), *r[5:8], place(r[8]), place(r[9]), r[10]] for r in rows]
+    assert [list(r.values()) for r in got.to_pylist()] == expected
+
+
 @pytest.mark.parametrize("check", ["keep-sorted", "keep-unique", "line-pattern", "line-count"])
 def test_files_are_checked_as_their_blocks_are(spark, check):
     from tagloom.operators.extract import extract_blocks
